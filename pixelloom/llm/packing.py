@@ -37,23 +37,28 @@ def place(histogram: dict[int, int], max_length: int) -> list[tuple[int, int, in
         room[free].append(run)
 
     for length in sorted(histogram, reverse=True):
-        left, rank, filled = histogram[length], 0, []
-        while left:
-            if widest and -widest[0] >= length:
-                free = -widest[0]
-                first, n = room[free].pop()
-                take = min(n, left)
-                if take < n:
-                    room[free].append((first + take, n - take))
-                elif not room[free]:
-                    del room[free]
-                    heapq.heappop(widest)
-            else:
-                free, first, take = max_length, packs, left
-                packs += take
+        left, rank = histogram[length], 0
+        while left and widest and -widest[0] >= length:
+            free = -widest[0]
+            first, n = room[free].pop()
+            take = min(n, left)
+            if take < n:
+                room[free].append((first + take, n - take))
+            elif not room[free]:
+                del room[free]
+                heapq.heappop(widest)
             placed.append((length, rank, take, first, max_length - free))
             put(free - length, (first, take))
             rank, left = rank + take, left - take
+        # no pack has the room: new ones, each filled with this length as it is the shortest now
+        each = max_length // length
+        for n, full in ((left // each, each), (1, left % each)):
+            if n and full:
+                for i in range(full):
+                    placed.append((length, rank, n, packs, i * length))
+                    rank += n
+                put(max_length - full * length, (packs, n))
+                packs += n
     return placed
 
 

@@ -76,25 +76,29 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
         return none
     frequent = FPGrowth(itemsCol="tokens", minSupport=max(min_support * n / n_bad, 1e-12), minConfidence=1.0).fit(basket.df.where("bad").select("tokens")).freqItemsets
     sets = Table(frequent.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad_n")).withColumn("rule", F.xxhash64("tokens")), "sets")
-    all_n = match(basket.df.withColumn("id", F.monotonically_increasing_id()), sets.df, "id", F.col("tokens")).groupBy("rule").agg(F.count(F.lit(1)).alias("all_n"))
+    all_n = match(basket.df, sets.df, "bad").groupBy("rule").agg(F.count(F.lit(1)).alias("all_n"))
     confident = sets.df.join(all_n, "rule").withColumn("confidence", F.col("bad_n") / F.col("all_n")).where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= F.lit(min_lift * n_bad / n)))
     confident = Table(confident.select("rule", "tokens", (F.col("bad_n") / F.lit(float(n))).alias("support"), "confidence"), "confident")
     c = confident.df
-    smaller = c.select(F.col("rule").alias("r2"), F.col("tokens").alias("t2"), F.col("confidence").alias("c2"))
     # subsets are found by the same inverted index, with rules in the place of pages
-    inside = match(c, smaller.select(F.col("r2").alias("rule"), F.col("t2").alias("tokens")), "of", F.col("tokens"), c["rule"])
+    inside = match(c.select(F.col("rule").alias("of"), "tokens"), c, "of")
     worse = inside.join(c.select("rule", F.col("confidence").alias("c_small"), F.size("tokens").alias("n_small")), "rule").join(c.select(F.col("rule").alias("of"), F.col("confidence").alias("c_big"), F.size("tokens").alias("n_big")), "of")
     worse = worse.where("n_small < n_big AND c_small >= c_big").select(F.col("of").alias("rule")).distinct()
     return Table(c.join(worse, "rule", "left_anti"), "rules")
 
 
-def match(pages: DataFrame, rules: DataFrame, name: str, tokens: Column, key: Column | None = None) -> DataFrame:
-    """(name, rule): the rules all of whose tokens a page has. The index holds
-    the rules by each of their tokens."""
-    index = Table(rules.select("rule", F.size("tokens").alias("need"), F.explode("tokens").alias("token")), "rule-index").small()
-    seen = pages.select((F.col(name) if key is None else key).alias(name), F.explode(F.array_distinct(tokens)).alias("t"))
-    hits = seen.join(index, F.col("t") == F.col("token")).groupBy(name, "rule").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return hits.where("n = need").select(name, "rule")
+def match(pages: DataFrame, rules: DataFrame, name: str, tokens: str = "tokens") -> DataFrame:
+    """(name, rule): the rules all of whose tokens a page has. The index holds each
+    rule under the one of its tokens that fewest rules have; a page looks its
+    tokens up and tests what it finds there, without a shuffle of pages."""
+    held = rules.select("rule", F.col("tokens").alias("need"), F.explode("tokens").alias("token"))
+    often = held.groupBy(F.col("token").alias("o")).agg(F.count(F.lit(1)).alias("times"))
+    held = held.join(often, F.col("token") == F.col("o"))
+    index = held.groupBy("rule").agg(F.min(F.struct("times", "token")).alias("least"), F.first("need").alias("need"))
+    index = Table(index.select("rule", "need", F.col("least.token").alias("token")), "rule-index").small()
+    seen = pages.select(F.col(name), F.col(tokens).alias("has"), F.explode(F.array_distinct(tokens)).alias("t"))
+    hits = seen.join(index, F.col("t") == F.col("token"))
+    return hits.where(F.size(F.array_except("need", "has")) == 0).select(name, "rule")
 
 
 def label_pages(pages: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:
@@ -114,6 +118,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     rows stay. Null URLs match nothing; ids may be null or repeated. An empty
     table, or no rules, gives no rows. Extra columns are not read."""
     own = pages.where(col(url).isNotNull()).select(col(page_id).alias("page_id"), col(url).alias("url"))
-    fired = match(own.select("url").distinct(), rules, "url", url_tokens(F.col("url")))
+    fired = match(own.select("url").distinct().select("url", url_tokens(F.col("url")).alias("tokens")), rules, "url")
     best = fired.join(rules.select("rule", "confidence"), "rule").groupBy(F.col("url").alias("u")).agg(F.count(F.lit(1)).alias("rules"), F.max("confidence").alias("confidence"))
     return own.join(best, F.col("url") == F.col("u")).select("page_id", "url", "rules", F.round("confidence", 6).alias("confidence"))

@@ -1,13 +1,14 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Three passes over the texts: the first counts
-words, for the order by rarity; the second writes down each line's set (as a
-hash) and the prefix of its rarest words; the third fetches the words of the
-lines that are left as candidates. Two sets of Jaccard similarity t at least
+A line is the set of its words. Three passes over the texts: the first writes
+down each line's set (as a hash) and counts words, for the order by rarity; the
+second sends out the prefix of each set's rarest words; the third fetches the
+words of the lines that are left as candidates. Two sets of Jaccard similarity t at least
 share a word among the first n - ceil(t n) + 1 of either in any one order, so
 lines meet at their prefixes' words (prefix filter); a meeting counts if their
 sizes (length filter) and what follows the word in both (positional filter)
-allow the overlap that t asks for. Candidates are then verified. A line goes if
+allow the overlap that t asks for, and if the parities of their words' bits
+differ in no more places than the sets may in words. Candidates are verified. A line goes if
 an earlier line matches it, earlier by document id, then by place.
 
 Words are ordered by the logarithm of their bucket's count in a table of fixed
@@ -40,18 +41,22 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(starts, len(data)), np.searchsorted(starts, offsets)
 
 
-def _tally(batches):
-    """Counts of the words' buckets, in slices (slice, counts)."""
+def _first(batches):
+    """Kind 0: every line that has a word (row, doc_id, line, set). Kind 1: counts of
+    the words' buckets in slices (slice in line, counts)."""
     count = np.zeros(1 << BUCKET_BITS, np.int64)
-    for b in batches:
-        data, offsets = utf8(b.column(0))
-        for lo, hi in slices(offsets, 4 << 20):
-            part = offsets[lo : hi + 1]
-            w, _ = words(data[part[0] : part[-1]], part - part[0])
-            count += np.bincount((w & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64), minlength=len(count))
-    rows = count.reshape(-1, 1 << SLICE_BITS)
+    flat = np.zeros(1 << BUCKET_BITS, np.uint8)
+    names = ["kind", "row", "doc_id", "line", "set", "counts"]
+    for b, lo, hi, ids, first, h, text_at in _parts(batches, flat):
+        count += np.bincount((ids & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64), minlength=len(count))
+        has = np.flatnonzero(np.diff(first))
+        text = np.searchsorted(text_at, has, "right") - 1
+        own = b.slice(lo, hi - lo).take(pa.array(text))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(has), np.int32)), own.column(0), own.column(1), pa.array(has - text_at[text]), pa.array(h.view(np.int64)[has]), pa.nulls(len(has), pa.binary())], names)
+    rows = count.astype(np.uint32).reshape(-1, 1 << SLICE_BITS)
     some = np.flatnonzero(rows.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), fixed(rows[some].view(np.uint8).reshape(len(some), 8 << SLICE_BITS))], ["slice", "counts"])
+    none = pa.nulls(len(some), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), none, none, pa.array(some), none, fixed(np.ascontiguousarray(rows[some]).view(np.uint8).reshape(len(some), 4 << SLICE_BITS))], names)
 
 
 def _levels(batches):
@@ -61,7 +66,7 @@ def _levels(batches):
         if b.num_rows:
             rows = matrix(b.column(1), b.num_rows)
             for s, r in zip(b.column(0).to_pylist(), rows):
-                c = r.copy().view(np.int64)
+                c = r.copy().view(np.uint32).astype(np.int64)
                 total[s] = total[s] + c if s in total else c
     if total:
         keys = list(total)
@@ -69,11 +74,10 @@ def _levels(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), fixed(lev)], ["slice", "levels"])
 
 
-def rarity(docs: DataFrame, text: str) -> np.ndarray:
+def rarity(tallies: DataFrame) -> np.ndarray:
     """The level of each bucket of words, over all texts: a megabyte."""
-    tallies = docs.select(col(text).alias("text")).mapInArrow(_tally, "slice int, counts binary").repartition("slice")
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for r in tallies.mapInArrow(_levels, "slice int, levels binary").collect():
+    for r in tallies.repartition("slice").mapInArrow(_levels, "slice int, levels binary").collect():
         out[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(r["levels"], np.uint8)
     return out
 
@@ -97,7 +101,8 @@ def sets(data: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple[np.n
         once = np.append(True, (ids[1:] != ids[:-1]) | (line[1:] != line[:-1]))
         ids, line = ids[once], line[once]
     first = np.searchsorted(line, np.arange(n + 1, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids), dtype=np.uint64)])
+    # of the words' hashes alone, so that a set has the same hash whatever the levels are
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids & _HASH), dtype=np.uint64)])
     size = np.diff(first)
     return ids, first, mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64))
 
@@ -122,41 +127,46 @@ def _parts(batches, level):
             yield b, lo, hi, ids, first, h, text_at
 
 
-def _lines(batches, level, t):
-    """Kind 0: every line that has a word (row, doc_id, line, set, n). Kind 1: the
-    prefixes' words of each set, once in a task (word, place, set, n)."""
+def _prefixes(batches, level, t):
+    """The prefixes' words of each set, once in a task: (word and size, set, place
+    and parities, parities), packed into four integers."""
     seen: set[int] = set()
-    names = ["kind", "row", "doc_id", "line", "set", "n", "word", "place"]
-    for b, lo, hi, ids, first, h, text_at in _parts(batches, level):
+    for _, _, _, ids, first, h, _ in _parts(batches, level):
         size = np.diff(first)
-        has = np.flatnonzero(size)
-        text = np.searchsorted(text_at, has, "right") - 1
-        own = b.slice(lo, hi - lo).take(pa.array(text))
-        zero = pa.nulls(len(has), pa.int64())
-        h64 = h.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(has), np.int32)), own.column(0), own.column(1), pa.array(has - text_at[text]), pa.array(h64[has]), pa.array(size[has]), zero, pa.nulls(len(has), pa.int32())], names)
-        _, once = np.unique(h[has], return_index=True)
-        once = has[once]
+        _, once = np.unique(h, return_index=True)
+        once = once[size[once] > 0]
         if len(seen) > 1_000_000:
             seen.clear()
-        fresh = np.fromiter((x not in seen for x in h[once].tolist()), bool, len(once))
-        once = once[fresh]
+        once = once[np.fromiter((x not in seen for x in h[once].tolist()), bool, len(once))]
         seen.update(h[once].tolist())
-        p = prefix_length(size[once], t)
+        # the parity of each of 128 bits that the words of a set toggle
+        bit = mix(ids & _HASH)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        upper = (bit >> np.uint64(6)) & np.uint64(1) == 1
+        # within a set's range xor runs are differences of running xors
+        runs = [np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(side, one, np.uint64(0)))]) for side in (~upper, upper)]
+        low, high = (r[first[once + 1]] ^ r[first[once]] for r in runs)
+        n = size[once]
+        p = prefix_length(n, t)
         place = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
         word = ids[np.repeat(first[once], p) + place]
-        none = pa.nulls(len(word), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(word), np.int32)), none, none, none, pa.array(np.repeat(h64[once], p)), pa.array(np.repeat(size[once], p)), pa.array(word.view(np.int64)), pa.array(place.astype(np.int32))], names)
+        key = ((word & _HASH) << np.uint64(24)) | np.repeat(np.minimum(n, (1 << 24) - 1).astype(np.uint64), p)
+        rest = (place.astype(np.uint64) << np.uint64(40)) | np.repeat(high & _HASH, p)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, np.repeat(h[once], p), rest, np.repeat(low, p))], ["key", "set", "rest", "low"])
 
 
 def _meet(batches, t):
     """Candidate pairs (a, b), a < b, of the sets that meet at a word: sorted by
-    word, size and set."""
+    word and size."""
     names = ["a", "b"]
 
-    def pairs(word, size, place, set_):
-        keep = np.append(True, (word[1:] != word[:-1]) | (set_[1:] != set_[:-1]))
-        word, size, place, set_ = word[keep], size[keep], place[keep], set_[keep]
+    def pairs(key, set_, rest, low):
+        order = np.lexsort((set_, key))
+        key, set_, rest, low = (x[order] for x in (key, set_, rest, low))
+        keep = np.append(True, (key[1:] != key[:-1]) | (set_[1:] != set_[:-1]))
+        key, set_, rest, low = (x[keep].view(np.uint64) for x in (key, set_, rest, low))
+        word, size = key >> np.uint64(24), (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+        place, high = (rest >> np.uint64(40)).astype(np.int64), rest & _HASH
         live, step = np.arange(len(word)), 0
         while True:
             step += 1
@@ -167,10 +177,13 @@ def _meet(batches, t):
             if not len(live):
                 return
             j = live + step
-            need = np.ceil(t / (1 + t) * (size[live] + size[j]) - 1e-9)
-            good = 1 + np.minimum(size[live] - place[live], size[j] - place[j]) - 1 >= need
-            a, b = set_[live[good]], set_[j[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names)
+            both = size[live] + size[j]
+            need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+            good = np.minimum(size[live] - place[live], size[j] - place[j]) >= need
+            good &= np.bitwise_count(low[live] ^ low[j]).astype(np.int64) + np.bitwise_count(high[live] ^ high[j]) <= both - 2 * need
+            a, b = set_[live[good]].view(np.int64), set_[j[good]].view(np.int64)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names)
 
     held = None
     for b in batches:
@@ -178,7 +191,8 @@ def _meet(batches, t):
             continue
         now = [b.column(i).to_numpy() for i in range(4)]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on in the next batch
+        words_ = held[0] >> 24
+        cut = int(np.searchsorted(words_, words_[-1]))  # the last word may go on in the next batch
         if cut:
             yield from pairs(*(x[:cut] for x in held))
             held = [x[cut:] for x in held]
@@ -208,11 +222,12 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, text: str = "tex
     come last. Repeated rows and ids are told apart by the row's number: the
     lines of all but one go. An empty table gives no rows."""
     rows = docs.select((F.monotonically_increasing_id() if row is None else col(row)).alias("row"), col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
-    level = docs.sparkSession.sparkContext.broadcast(rarity(docs, text))
     t = float(threshold)
-    both = Table(rows.mapInArrow(lambda it: _lines(it, level.value, t), "kind int, row long, doc_id long, line long, set long, n long, word long, place int"), "lines")
+    both = Table(rows.mapInArrow(_first, "kind int, row long, doc_id long, line long, set long, counts binary"), "lines")
     lines = both.df.where("kind = 0").select("row", "doc_id", "line", "set")
-    met = both.df.where("kind = 1").select("word", "n", "place", "set").repartition("word").sortWithinPartitions("word", "n", "set")
+    level = docs.sparkSession.sparkContext.broadcast(rarity(both.df.where("kind = 1").select(F.col("line").cast("int").alias("slice"), "counts")))
+    met = rows.select("text").mapInArrow(lambda it: _prefixes(it, level.value, t), "key long, set long, rest long, low long")
+    met = met.withColumn("word", F.shiftright("key", 24)).repartition("word").drop("word").sortWithinPartitions("key")
     pairs = Table(met.mapInArrow(lambda it: _meet(it, t), "a long, b long").distinct(), "line-pairs")
     some = Table(pairs.df.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "line-candidates")
     bags = rows.select("text").mapInArrow(lambda it: _words_of(it, level.value), "set long, words array<long>")

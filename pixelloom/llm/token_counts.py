@@ -82,46 +82,64 @@ class Counter:
             ok = self.agree[k] = self.encode(self.token[a] + self.token[b]) == [a, b]
         return ok
 
-    def prefixes(self, piece: bytes) -> list[int]:
-        """Tokens of piece[:1], piece[:2], ..."""
-        ranks, agree, n = self.ranks, self.agree, len(piece)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.most), j):
-                t = ranks.get(piece[i:j])
-                if t is not None and (i == 0 or (agree[k] if (k := last[i] << 32 | t) in agree else self.fits(last[i], t))):
-                    last[j], count[j] = t, count[i] + 1
-                    break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
-        return count[1:]
-
-    def places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def prefixes(self, pieces: list[bytes]) -> list[int]:
+        """Tokens of piece[:1], piece[:2], ... for each of the sorted pieces. What a
+        piece begins with like the one before it isn't worked out again."""
+        ranks, agree, get = self.ranks, self.agree, self.ranks.get
+        out: list[int] = []
+        last, since, count, before = [-1], [0], [0], b""
+        for piece in pieces:
+            n, same = len(piece), 0
+            most = min(n, len(before))
+            while same < most and piece[same] == before[same]:
+                same += 1
+            del last[same + 1 :], since[same + 1 :], count[same + 1 :]
+            for j in range(same + 1, n + 1):
+                # any token that agrees is the only one: the last one grown by a byte is likely it
+                i = since[j - 1]
+                t = get(piece[i:j])
+                if t is None or i and not (agree[k] if (k := last[i] << 32 | t) in agree else self.fits(last[i], t)):
+                    for i in range(j - 1, max(0, j - self.most) - 1, -1):
+                        t = get(piece[i:j])
+                        if t is not None and (i == 0 or (agree[k] if (k := last[i] << 32 | t) in agree else self.fits(last[i], t))):
+                            break
+                    else:
+                        raise ValueError("the vocabulary lacks single bytes")
+                last.append(t)
+                since.append(i)
+                count.append(count[i] + 1)
+            out += count[1:]
+            before = piece
+        return out
+
+    def places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where the counts of the byte ranges' prefixes begin in ``flat``: one for
-        each character (``lead``: whether a byte begins one). The prefix counts of
-        the contractions (``first`` True) are those of their parts."""
+        each character. The prefix counts of the contractions (``first`` True) are
+        those of their parts."""
         h = hashes(data, start, end)
         h[first] ^= np.uint64(1)
         one, index, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.at) > REMEMBERED:
             self.forget()
-        out, at = np.empty(len(one), np.int64), self.at
-        for n, (k, i) in enumerate(zip(one.tolist(), index.tolist())):
-            where = at.get(k)
-            if where is None:
-                piece = data[start[i] : end[i]].tobytes()
-                counts = np.array(self.prefixes(piece), np.int32)
-                if first[i] and len(piece) == 3:  # 'l of 'll is two pieces
-                    counts[1] = 2
-                ends = np.append(np.flatnonzero(lead[start[i] + 1 : end[i]]), len(piece) - 1)
-                counts = counts[ends]
-                while self.used + len(counts) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                where = at[k] = self.used
-                self.flat[where : where + len(counts)] = counts
-                self.used += len(counts)
-            out[n] = where
-        return out[back]
+        keys, at = one.tolist(), self.at
+        new = [n for n, k in enumerate(keys) if k not in at]
+        if new:
+            pieces = sorted((data[start[i] : end[i]].tobytes(), n, bool(first[i])) for n, i in zip(new, index[new].tolist()))
+            counts = np.array(self.prefixes([p for p, _, _ in pieces]), np.int32)
+            joined = np.frombuffer(b"".join(p for p, _, _ in pieces), np.uint8)
+            size = np.array([len(p) for p, _, _ in pieces])
+            begin = np.cumsum(size) - size
+            # 'l of 'll is two pieces
+            counts[begin[[short and len(p) == 3 for p, _, short in pieces]] + 1] = 2
+            ends = np.append((joined[1:] & 0xC0) != 0x80, True)
+            places = np.cumsum(ends) - ends
+            counts = counts[ends]
+            while self.used + len(counts) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(counts)] = counts
+            at.update(zip((keys[n] for _, n, _ in pieces), (places[begin] + self.used).tolist()))
+            self.used += len(counts)
+        return np.fromiter((at[k] for k in keys), np.int64, len(keys))[back]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count at each character's end, first character of each text and their number)."""
@@ -167,7 +185,7 @@ class Counter:
         short[mark[two | three]] = True
         piece = np.flatnonzero(begin)
         after = np.append(piece[1:], n)
-        place = self.places(data, byte[piece], byte[after], lead, short[piece])
+        place = self.places(data, byte[piece], byte[after], short[piece])
         size = after - piece
         total = self.flat[place + size - 1].astype(np.int64)
         upto = np.cumsum(total) - total
@@ -179,7 +197,7 @@ class Counter:
         # characters of white space end a prefix whose last piece is the run so far
         if len(runs):
             base_at = base[np.searchsorted(piece, runs)]
-            again = self.places(data, byte[runs], byte[ends], lead, np.zeros(len(runs), bool))
+            again = self.places(data, byte[runs], byte[ends], np.zeros(len(runs), bool))
             long = ends - runs
             steps = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
             out[np.repeat(runs, long) + steps] = np.repeat(base_at, long) + self.flat[np.repeat(again, long) + steps]

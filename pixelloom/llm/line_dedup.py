@@ -30,7 +30,7 @@ from .texts import mix, slices, utf8, words
 THRESHOLD = 0.8
 BUCKET_BITS, SLICE_BITS, HASH_BITS, LEVEL_BITS, LINE_BITS = 20, 10, 40, 6, 18
 _HASH, _ID = np.uint64((1 << HASH_BITS) - 1), np.uint64((1 << (HASH_BITS + LEVEL_BITS)) - 1)
-_BYTES = 512 << 10
+_BYTES, _ROWS = 512 << 10, 200_000
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +51,8 @@ def _first(batches):
         count += np.bincount((ids & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64), minlength=len(count))
         has = np.flatnonzero(np.diff(first))
         text = np.searchsorted(text_at, has, "right") - 1
-        own = b.slice(lo, hi - lo).take(pa.array(text))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(has), np.int32)), own.column(0), own.column(1), pa.array(has - text_at[text]), pa.array(h.view(np.int64)[has]), pa.nulls(len(has), pa.binary())], names)
+        own = [b.column(i).slice(lo, hi - lo).take(pa.array(text)) for i in (0, 1)]  # not the texts
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(has), np.int32)), *own, pa.array(has - text_at[text]), pa.array(h.view(np.int64)[has]), pa.nulls(len(has), pa.binary())], names)
     rows = count.astype(np.uint32).reshape(-1, 1 << SLICE_BITS)
     some = np.flatnonzero(rows.any(axis=1))
     none = pa.nulls(len(some), pa.int64())
@@ -157,12 +157,10 @@ def _prefixes(batches, level, t):
 
 def _meet(batches, t):
     """Candidate pairs (a, b), a < b, of the sets that meet at a word: sorted by
-    word and size."""
+    word, size and set, taken up by _ROWS rows."""
     names = ["a", "b"]
 
     def pairs(key, set_, rest, low):
-        order = np.lexsort((set_, key))
-        key, set_, rest, low = (x[order] for x in (key, set_, rest, low))
         keep = np.append(True, (key[1:] != key[:-1]) | (set_[1:] != set_[:-1]))
         key, set_, rest, low = (x[keep].view(np.uint64) for x in (key, set_, rest, low))
         word, size = key >> np.uint64(24), (key & np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -185,19 +183,22 @@ def _meet(batches, t):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names)
 
-    held = None
+    held, rows, least = [], 0, _ROWS
     for b in batches:
         if not b.num_rows:
             continue
-        now = [b.column(i).to_numpy() for i in range(4)]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        words_ = held[0] >> 24
-        cut = int(np.searchsorted(words_, words_[-1]))  # the last word may go on in the next batch
-        if cut:
-            yield from pairs(*(x[:cut] for x in held))
-            held = [x[cut:] for x in held]
-    if held is not None:
-        yield from pairs(*held)
+        held.append([b.column(i).to_numpy() for i in range(4)])
+        rows += b.num_rows
+        if rows >= least:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            heads = whole[0] >> 24
+            cut = int(np.searchsorted(heads, heads[-1]))  # the last word may go on in the next batch
+            if cut:
+                yield from pairs(*(x[:cut] for x in whole))
+            held, rows = [[x[cut:] for x in whole]], len(heads) - cut
+            least = max(_ROWS, 2 * rows)  # a frequent word is gathered until it ends
+    if held:
+        yield from pairs(*(np.concatenate(x) for x in zip(*held)))
 
 
 def _words_of(batches, level):
@@ -227,7 +228,7 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, text: str = "tex
     lines = both.df.where("kind = 0").select("row", "doc_id", "line", "set")
     level = docs.sparkSession.sparkContext.broadcast(rarity(both.df.where("kind = 1").select(F.col("line").cast("int").alias("slice"), "counts")))
     met = rows.select("text").mapInArrow(lambda it: _prefixes(it, level.value, t), "key long, set long, rest long, low long")
-    met = met.withColumn("word", F.shiftright("key", 24)).repartition("word").drop("word").sortWithinPartitions("key")
+    met = met.withColumn("word", F.shiftright("key", 24)).repartition("word").drop("word").sortWithinPartitions("key", "set")
     pairs = Table(met.mapInArrow(lambda it: _meet(it, t), "a long, b long").distinct(), "line-pairs")
     some = Table(pairs.df.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "line-candidates")
     bags = rows.select("text").mapInArrow(lambda it: _words_of(it, level.value), "set long, words array<long>")

@@ -247,16 +247,21 @@ def _link(batches, threshold: float, min_depth: int, region: int):
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(2, np.int32)), pa.array(node[edge]), pa.array(at), fixed(whole), fixed(low[edge])], ["kind", "u", "v", "key", "low"])
 
 
-def _seams(ends: list, threshold: float, min_depth: int) -> list[tuple[int, int]]:
-    """Matches between the last entry of a partition and the first of the next."""
-    out = []
-    ends = sorted(ends, key=lambda r: r["v"])
-    for a, b in zip(ends, ends[1:]):
-        if a["v"] % 2 and bytes(a["key"])[: 4 + 4 * min_depth] == bytes(b["key"])[: 4 + 4 * min_depth] and a["u"] != b["u"]:
-            x, y = (np.frombuffer(bytes(r["low"]), np.uint8)[None] for r in (a, b))
-            if close(x, y, threshold)[0]:
-                out.append((a["u"], b["u"]))
-    return out
+def _seams(links: DataFrame, threshold: float, min_depth: int) -> DataFrame:
+    """Matches between the last entry of a partition and the first of the next that
+    has any. The window holds two entries of each partition."""
+    w = Window.orderBy("v")
+    head = lambda c: F.substring(c, 1, 4 + 4 * min_depth)
+    ends = links.where("kind = 1").select("u", "v", "key", "low", F.lead("u").over(w).alias("u2"), F.lead("key").over(w).alias("key2"), F.lead("low").over(w).alias("low2"))
+    ends = ends.where((F.col("v") % 2 == 1) & (head("key") == head("key2")) & (F.col("u") != F.col("u2"))).select("u", F.col("u2").alias("v"), "low", "low2")
+
+    def compare(batches):
+        for b in batches:
+            if b.num_rows:
+                ok = close(matrix(b.column(2), b.num_rows), matrix(b.column(3), b.num_rows), threshold)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
+
+    return ends.mapInArrow(compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> Table:
@@ -289,10 +294,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     forest = sigs.df.select("node", "sig").mapInArrow(lambda it: _forest(it, TREES, DEPTH), "tree int, key binary, node long, low binary")
     forest = forest.repartitionByRange(tasks, "tree", "key").sortWithinPartitions("tree", "key")
     links = Table(forest.mapInArrow(lambda it: _link(it, threshold, MIN_DEPTH, REGION), "kind int, u long, v long, key binary, low binary"), "links")
-    seams = _seams(links.df.where("kind = 1").collect(), threshold, MIN_DEPTH)  # two entries of each task
-    edges = links.df.where("kind = 0").select("u", "v")
-    if seams:
-        edges = edges.unionByName(docs.sparkSession.createDataFrame(seams, "u long, v long"))
+    edges = links.df.where("kind = 0").select("u", "v").unionByName(_seams(links.df, threshold, MIN_DEPTH))
     label = components(edges)
     links.drop()
     nodes = label.df.select("u", F.col("v").alias("group")).unionByName(label.df.select(F.col("v").alias("u"), F.col("v").alias("group")).distinct())

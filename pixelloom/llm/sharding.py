@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,9 @@ from .common import Table, col, prefix_sums
 SHARDS = 64
 
 
-def deal(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """(size, first rank, rank past the last, shard) for (size, groups), as the
-    heap of (load, shard) deals them; within a size by shard."""
+def deal(sizes: list[tuple[int, int]], shards: int) -> tuple[np.ndarray, ...]:
+    """Columns (size, first rank, rank past the last, shard) for (size, groups), as
+    the heap of (load, shard) deals them; within a size by shard."""
     load = [0] * shards
     heap = [(0, i) for i in range(shards)]
     out = []
@@ -53,11 +54,11 @@ def deal(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int,
             heap = [(x, i) for i, x in enumerate(load)]
             heapq.heapify(heap)
             took = {i: a for i, a in enumerate(k) if a}
-        rank = 0
-        for i in sorted(took):
-            out.append((size, rank, rank + took[i], i))
-            rank += took[i]
-    return out
+        which = np.array(sorted(took), np.int32)
+        past = np.cumsum([took[i] for i in which.tolist()], dtype=np.int64)
+        out.append((np.full(len(which), size, np.int64), np.concatenate([[0], past[:-1]]), past, which))
+    kinds = (np.int64, np.int64, np.int64, np.int32)
+    return tuple(np.concatenate([np.zeros(0, k), *(r[c] for r in out)]).astype(k) for c, k in enumerate(kinds))
 
 
 def shard(docs: DataFrame, group: Column, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -71,7 +72,8 @@ def shard(docs: DataFrame, group: Column, shards: int = SHARDS, text: str = "tex
     groups = rows.df.groupBy("group").agg(F.sum("n").cast("long").alias("size"))
     groups = Table(groups.select("group", "size", F.md5(F.coalesce(F.concat(F.lit("g|"), "group"), F.lit("null"))).alias("key"), F.lit(1).cast("long").alias("one")), "shard-groups")
     sizes = [(r["size"], r["count"]) for r in groups.df.groupBy("size").count().toLocalIterator()]  # distinct sizes, not groups
-    dealt = Table(docs.sparkSession.createDataFrame(deal(sizes, shards), "s long, first long, past long, shard int"), "shard-runs").small()
+    dealt = pa.table(dict(zip(("s", "first", "past", "shard"), map(pa.array, deal(sizes, shards)))))
+    dealt = Table(docs.sparkSession.createDataFrame(dealt), "shard-runs").small()
     ranked = prefix_sums(groups.df, ["size"], "key", ["group"], "one", "rank")
     at = ranked.join(dealt, (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past"))).select(F.col("group").alias("g"), "shard")
     return rows.df.join(at, F.col("group").eqNullSafe(F.col("g"))).select("doc_id", "shard")

@@ -158,7 +158,7 @@ def test_deal_is_the_heap():
         shards = random.choice([1, 3, 8])
         sizes = [(s, random.choice([1, 2, 5, 200])) for s in random.sample(range(0, 50), random.randint(1, 8))]
         got = defaultdict(Counter)
-        for s, a, b, i in sharding.deal(sizes, shards):
+        for s, a, b, i in zip(*sharding.deal(sizes, shards)):
             got[s][i] += b - a
         assert got == brute_deal(sizes, shards)
 

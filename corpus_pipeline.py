@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import exact_dedup, mixing, near_dedup, packing, quality
-from pixelloom.llm.common import Table
+from pixelloom.llm.common import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of the documents; what a stage wrote on its way is deleted when
+    its result is written, and its result when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch() as done:
+        for name, stage in STAGES[:-1]:
+            docs = done(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ BROADCAST_BYTES = 32 << 20
 ROWS_PER_BUCKET = 200_000
 
 _LOCAL: dict[str, str] = {}
+#: The tables that exist, oldest first.
+_OPEN: list[Table] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +58,7 @@ class Table:
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _OPEN.append(self)
         atexit.register(_delete_at_exit, self.spark, self.path)
 
     def bytes(self) -> int:
@@ -70,9 +74,27 @@ class Table:
 
     def drop(self) -> None:
         """Delete the files, once nothing reads them any more."""
+        if self in _OPEN:
+            _OPEN.remove(self)
         _delete(self.spark, self.path)
 
 
+@contextmanager
+def scratch():
+    """Gives done(df, name): the written result as a DataFrame, after which the
+    tables that were made on the way to it, within this block, are deleted."""
+    kept = list(_OPEN)
+
+    def done(df: DataFrame, name: str) -> DataFrame:
+        made = [t for t in _OPEN if t not in kept and t.spark is df.sparkSession]
+        out = Table(df, name)
+        for t in made:
+            t.drop()
+        return out.df
+
+    yield done
+
+
 def free_name(df: DataFrame, name: str, *others: str) -> str:
     """``name``, with underscores before it until no column has that name."""
     taken = {c.lower() for c in [*df.columns, *others]}

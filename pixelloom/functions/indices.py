@@ -260,16 +260,21 @@ def spectral_indices(
     if mask is not None:
         off = mask.isNull() if mask_value is None else (mask == F.lit(mask_value))
         b = {n: F.when(off, F.lit(None)).otherwise(c) for n, c in b.items()}
-    cols = []
-    for i in wanted:
+    # two projections: a formula is evaluated once, however often its range and its
+    # NaN are asked for (Spark keeps them apart, as it would have to repeat it)
+    raw, cols = [], []
+    for n, i in enumerate(wanted):
         ix = known[i]
         formula = PUBLISHED[i] if published and i in PUBLISHED else ix.formula
         c = formula(b, k)
-        if ix.low is None and ix.high is None:
-            if keep_inf and i in ("SR", "RVI"):
-                top, bottom = (b["nir"], b["red"]) if i == "SR" else (b["red"], b["nir"])
-                c = F.when(bottom == 0, F.when(top > 0, lit(float("inf"))).when(top < 0, lit(float("-inf")))).otherwise(c)
+        if keep_inf and i in ("SR", "RVI"):
+            top, bottom = (b["nir"], b["red"]) if i == "SR" else (b["red"], b["nir"])
+            c = F.when(bottom == 0, F.when(top > 0, lit(float("inf"))).when(top < 0, lit(float("-inf")))).otherwise(c)
+        raw.append(c.alias(f"_raw_{n}"))
+        v = F.col(f"_raw_{n}")
+        if ix.low is not None or ix.high is not None:
+            ok = within(v, ix.low, ix.high)  # NaN is above any limit
+            cols.append((ok if ix.high is not None else F.when(~F.isnan(v), ok)).alias(i))
         else:
-            c = within(c, ix.low, ix.high)
-        cols.append(F.when(~F.isnan(c), c).alias(i))
-    return img.select(*keys, *cols)
+            cols.append(F.when(~F.isnan(v), v).alias(i))
+    return img.select(*keys, *raw).select(*keys, *cols)

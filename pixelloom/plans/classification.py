@@ -33,7 +33,7 @@ _MLC = f"""WITH e AS (SELECT * FROM {emb(2)}), c AS (SELECT label, avg(b0) m0, a
 
 
 @query("mlc_scores", f"""{_MLC} SELECT vec_id, {', '.join(f'max(s) FILTER (WHERE l = {k}) AS score_{k}' for k in (1, 2, 3))} FROM
- (SELECT vec_id, c.label AS l, round(-ln(a * d - b * b) - (d * (b0 - m0) * (b0 - m0) - 2 * b * (b0 - m0) * (b1 - m1) + a * (b1 - m1) * (b1 - m1)) / (a * d - b * b), 5) + 0.0 AS s FROM e, c) GROUP BY vec_id""")
+ (SELECT vec_id, c.label AS l, round_even(1e5 * (-ln(a * d - b * b) - (d * (b0 - m0) * (b0 - m0) - 2 * b * (b0 - m0) * (b1 - m1) + a * (b1 - m1) * (b1 - m1)) / (a * d - b * b)), 0) / 1e5 + 0.0 AS s FROM e, c) GROUP BY vec_id""")
 def mlc_scores(spark, sf_dir):
     e = emb_pixels(spark, sf_dir, 2)
     m = classify.mlc_fit(e.where("label <= 3"), ["b0", "b1"], "label")

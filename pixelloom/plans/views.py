@@ -59,9 +59,11 @@ VEG = "(SELECT vec_id, " + ", ".join(f"abs(embedding[{i + 1}]::DOUBLE) + 0.05 AS
 
 
 def rounded(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    """Doubles rounded, and no negative zero, so that engines can be compared."""
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in cols})
+    """Doubles rounded (half to even), and no negative zero, so that engines can be
+    compared. Unlike round(), this stays in doubles."""
+    k = 10.0**digits
+    return df.withColumns({c: F.rint(F.col(c).cast("double") * k) / F.lit(k) + F.lit(0.0) for c in cols})
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"round_even(({expr})::DOUBLE * {10.0**digits}, 0) / {10.0**digits} + 0.0 AS {name}"

@@ -95,6 +95,13 @@ def scratch():
     yield done
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where they come in fewer partitions than there are
+    cores (a small table in one file); else the DataFrame as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def free_name(df: DataFrame, name: str, *others: str) -> str:
     """``name``, with underscores before it until no column has that name."""
     taken = {c.lower() for c in [*df.columns, *others]}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, col, free_name
+from .common import Table, col, free_name, spread
 from .near_dedup import fixed, matrix
 from .texts import mix, slices, utf8, words
 
@@ -222,7 +222,7 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, text: str = "tex
     count. Lines without a word, null and empty texts match nothing. Null ids
     come last. Repeated rows and ids are told apart by the row's number: the
     lines of all but one go. An empty table gives no rows."""
-    rows = docs.select((F.monotonically_increasing_id() if row is None else col(row)).alias("row"), col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
+    rows = spread(docs).select((F.monotonically_increasing_id() if row is None else col(row)).alias("row"), col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     t = float(threshold)
     both = Table(rows.mapInArrow(_first, "kind int, row long, doc_id long, line long, set long, counts binary"), "lines")
     lines = both.df.where("kind = 0").select("row", "doc_id", "line", "set")

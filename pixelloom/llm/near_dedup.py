@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, col, free_name
+from .common import Table, col, free_name, spread
 from .texts import mix, slices, utf8, words
 
 HASHES, TREES, DEPTH, MIN_DEPTH, REGION = 128, 16, 8, 2, 64
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
     word; ``row`` hashes all columns."""
     kinds = dict(docs.dtypes)
     plain = [col(c) if not kinds[c].startswith(("map", "variant")) else F.to_json(F.struct(col(c))) for c in docs.columns]
-    rows = docs.select(F.monotonically_increasing_id().alias("node"), col(doc_id).cast("long").alias("doc_id"), F.xxhash64(*plain).alias("row"), col(text).alias("text"))
+    rows = spread(docs).select(F.monotonically_increasing_id().alias("node"), col(doc_id).cast("long").alias("doc_id"), F.xxhash64(*plain).alias("row"), col(text).alias("text"))
     return Table(rows.mapInArrow(lambda it: _signed(it, n, hashes), "node long, doc_id long, row long, sig binary"), "signatures")
 
 

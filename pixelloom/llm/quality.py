@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name
+from .common import col, free_name, spread
 
 SYMBOLS = "#$%&*|<>{}[]~^_=+\\@/"
 #: Frequent function words of the four languages.
@@ -145,7 +145,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their columns."""
-    return docs.where(let(measures(col(text)), lambda m: compile_rules(rules, m)).isNull())
+    return spread(docs).where(let(measures(col(text)), lambda m: compile_rules(rules, m)).isNull())
 
 
 def quality_sql(rules: tuple[Rule, ...] = RULES, table: str = "documents", kept: str = "doc_id") -> str:

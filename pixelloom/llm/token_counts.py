@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, spread
 from .texts import hashes, slices, utf8
 
 #: The budget in the production query.
@@ -252,7 +252,7 @@ def prefix_counts(docs: DataFrame, budget: int = BUDGET, vocabulary: str | None
     Repeated rows and ids stay; an empty table gives no rows. No columns but the
     two named are read. ``vocabulary`` is a path that the workers can read."""
     path = vocabulary or default_vocabulary()
-    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
+    rows = spread(docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text")))
     return rows.mapInArrow(lambda it: _count(it, path, budget), "doc_id long, tokens long, steps binary, fits long")
 
 

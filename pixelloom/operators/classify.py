@@ -17,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import options
 from ..functions import stats
 from ..functions.expr import all_present, band, clamp, div, first_largest, first_smallest, lit, total
 from ..grid import GridSpec, sample_random
@@ -193,7 +194,30 @@ class Supervised:
             got, names = out.select(*keys, (F.col("prediction") + 1).cast("int").alias("class")), ["class"]
         return full.where(~all_present([F.col(b) for b in self.bands])).select(*keys, *[F.lit(None).cast(got.schema[n].dataType).alias(n) for n in names]).unionByName(got)
 
+    def scores(self, spark, source: str = "testset", metrics: str = "overall") -> DataFrame:
+        """The validation's metrics (see ``Validation.frame``), or with source "cv" a
+        row for each setting that was tried and its mean score."""
+        if source == "testset":
+            if self.validation is None:
+                raise ValueError("the model was not validated")
+            return self.validation.frame(spark, metrics)
+        if source != "cv":
+            raise ValueError("source is testset or cv")
+        if not self.cv:
+            raise ValueError("the model was not cross-validated")
+        metric = next(k for k in self.cv[0] if k != "parameters")
+        return spark.createDataFrame([(str(r["parameters"]), float(r[metric])) for r in self.cv], f"parameters string, `{metric}` double")
+
+    def summary(self) -> str:
+        """A report of the model, its cross validation and its validation."""
+        lines = [f"{self.mode} by {type(self.model).__name__} over {', '.join(self.bands)}"]
+        if self.classes:
+            lines.append("classes: " + ", ".join(f"{i + 1} {c}" for i, c in enumerate(self.classes)))
+        lines += [f"cross validation: {r}" for r in self.cv]
+        return "\n".join(lines + ([self.validation.summary()] if self.validation else []))
+
     def mapping(self, spark) -> DataFrame:
+        """(classID, class)"""
         return spark.createDataFrame([(i + 1, c) for i, c in enumerate(self.classes)], "classID int, class string")
 
 
@@ -288,6 +312,7 @@ def fit(samples: DataFrame, bands: list[str], model: str = "rf", mode: str = "cl
         cv = CrossValidator(estimator=est, estimatorParamMaps=g.build(), evaluator=ev, numFolds=k_folds, foldCol="fold", parallelism=4).fit(data)
     finally:
         data.unpersist()
+    options.say(f"tuned {model} over {len(g.build())} settings: {cv.avgMetrics}")
     scores = [{"parameters": {p.name: v for p, v in m.items()}, ev.getMetricName(): s} for m, s in zip(g.build(), cv.avgMetrics)]
     return Supervised(tuple(bands), mode, classes, cv.bestModel, scores)
 
@@ -387,6 +412,13 @@ class Validation:
             out.append({"class": c, "sensitivity": sens, "specificity": spec, "ppv": r(tp, tp + fp), "npv": r(tn, tn + fn), "prevalence": r(tp + fn, n), "balanced_accuracy": (sens + spec) / 2})
         return out
 
+    def summary(self) -> str:
+        """The matrix and the overall metrics, or the errors."""
+        if self.matrix is None:
+            return ", ".join(f"{k} {v:.6g}" for k, v in self.errors.items())
+        rows = [f"  {c}: {' '.join(map(str, r))}" for c, r in zip(self.classes, self.matrix.tolist())]
+        return "\n".join(["prediction by reference:", *rows, ", ".join(f"{k} {v:.4f}" for k, v in self.overall().items())])
+
     def frame(self, spark, metrics: str = "overall") -> DataFrame:
         """overall, classwise or confmat as a DataFrame; the errors of a regression."""
         if self.matrix is None:

@@ -82,15 +82,20 @@ def hist_lut(img: DataFrame, ref: DataFrame, bands: list[str], mask: Column | No
     return found.select("band", "value", matched.alias("matched"))
 
 
-def apply_lut(img: DataFrame, lut: DataFrame, bands: list[str], keys: list[str], integer: bool = False) -> DataFrame:
-    """keys and the bands mapped by the table; values that it lacks take the entry
-    of the largest value below them, or of the least."""
+def apply_lut(img: DataFrame, lut: DataFrame, bands: list[str], keys: list[str], integer: bool = False, complete: bool = False) -> DataFrame:
+    """keys and the bands mapped by the table. Values that it lacks take the entry
+    of the largest value below them, or the first one; ``complete`` says that it
+    lacks none of the image's values, which saves a scan."""
+    if not complete:
+        w = Window.partitionBy("band").orderBy("value")
+        both = stats.frequencies(img, bands).select("band", "value").join(lut, ["band", "value"], "full_outer")
+        last = F.last("matched", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        first = F.first("matched", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        lut = both.select("band", "value", F.coalesce(last, first).alias("matched"))
     df = img
     for i, b in enumerate(bands):
-        w = Window.orderBy("value")  # over distinct values of one band
-        one = lut.where(F.col("band") == b).select(F.col("value").alias(f"_a{i}"), F.lead("value").over(w).alias(f"_z{i}"), F.col("matched").alias(f"_m{i}"))
-        exact = one.select(F.col(f"_a{i}").alias(f"_v{i}"), F.col(f"_m{i}").alias(f"_e{i}"))
-        df = df.join(exact, band(b) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+        own = lut.where(F.col("band") == b).select(F.col("value").alias(f"_v{i}"), F.col("matched").alias(f"_e{i}"))
+        df = df.join(own, band(b) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
     out = [(F.rint(F.col(f"_e{i}")) if integer else F.col(f"_e{i}")).alias(b) for i, b in enumerate(bands)]
     return df.select(*keys, *out)
 
@@ -109,7 +114,7 @@ def hist_match(img: DataFrame, ref: DataFrame, bands: list[str], keys: list[str]
         lut = fill_lut(lut, stats.frequencies(img, bands), stats.frequencies(y, bands))
     else:
         lut = hist_lut(x, y, bands, None, ref_mask)
-    return lut if return_lut else apply_lut(img, lut, bands, keys, integer)
+    return lut if return_lut else apply_lut(img, lut, bands, keys, integer, complete=True)
 
 
 def fill_lut(lut: DataFrame, values: DataFrame, ref: DataFrame) -> DataFrame:

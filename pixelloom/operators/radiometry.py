@@ -8,6 +8,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import options
 from ..functions import stats
 from ..functions.expr import band, clamp, div, lit
 from ..sources.metadata import ImageMetaData
@@ -191,6 +192,7 @@ def rad_cor(
             if over[a] < 0:
                 warnings.warn("the estimated path radiance is negative", stacklevel=2)
             atmosphere = atmosphere or _pick_atmosphere(over[a], meta.bits or 8)
+            options.say(f"atmosphere: {atmosphere}")
             weights = haze_weights(table, plain(a), atmosphere)
             haze = {b: over[a] * weights[plain(b)] * (meta.calrad[b][0] / meta.calrad[a][0]) + meta.calrad[b][1] for b in solar}
         haze = {b: max(x, 0.0) for b, x in haze.items()}

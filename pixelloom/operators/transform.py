@@ -169,7 +169,7 @@ def pan_sharpen(img: DataFrame, pan: DataFrame, bands: list[str], pan_band: str,
         v = img.select("row", "col", ((r + g + b) / lit(3)).alias("_i"), ((r + g - b * 2.0) / lit(six)).alias("_v1"), ((r - g) / lit(two)).alias("_v2"))
         up = focal.resample_bilinear(base, v, grid, ["_v1", "_v2"])
         lut = match.hist_lut(base.select("row", "col", F.col("_pan").alias("_i")), v.select("row", "col", "_i"), ["_i"])
-        light = match.apply_lut(base.select(*dict.fromkeys([*keys, "row", "col"]), F.col("_pan").alias("_i")), lut, ["_i"], list(dict.fromkeys([*keys, "row", "col"])))
+        light = match.apply_lut(base.select(*dict.fromkeys([*keys, "row", "col"]), F.col("_pan").alias("_i")), lut, ["_i"], list(dict.fromkeys([*keys, "row", "col"])), complete=True)
         both = light.join(up, ["row", "col"])
         i, v1, v2 = F.col("_i"), F.col("_v1"), F.col("_v2")
         out = (i + v1 / lit(six) + v2 / lit(two), i + v1 / lit(six) - v2 / lit(two), i - v1 * 2.0 / lit(six))

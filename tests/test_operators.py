@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom import grid
+from pixelloom import grid, options
 from pixelloom.functions import expr, indices, stats
 from pixelloom.grid import GridSpec
 from pixelloom.operators import classify, clouds, display, focal, match, qa, radiometry, register, topography, transform, unmix, vector
@@ -131,6 +131,14 @@ def test_custom_formulas(spark):
     assert used == () and spark.range(1).select(make({})).first()[0] == -2
 
 
+def test_options(capsys):
+    with options.options(verbose=True, idxdb={"q": "red / nir"}):
+        options.say("hello")
+        assert list(indices.CUSTOM) == ["Q"]
+    options.say("no more")
+    assert capsys.readouterr().err == "hello\n" and not indices.CUSTOM
+
+
 # radiometry
 
 
@@ -323,6 +331,8 @@ def test_hist_match(spark):
     assert part.where("a IS NULL").count() == 0
     lut = match.hist_match(df, ref, ["a"], ["cell"], return_lut=True)
     assert lut.count() == 17
+    beyond = image(spark, 3, 1, a=lambda i, j: [-5, 3.5, 99][j])
+    assert [r.a for r in match.apply_lut(beyond, lut, ["a"], ["cell"]).orderBy("cell").collect()] == [5, 11, 37]
 
 
 def test_pif_match(spark):
@@ -524,6 +534,9 @@ def test_supervised(spark, model):
     hits = out.join(img, ["row", "col"]).where("class IS NOT NULL AND (class = 1) = (col >= 10)").count()
     assert hits >= 395
     assert m.validation.overall()["accuracy"] >= 0.95
+    assert m.scores(spark, metrics="confmat").count() == 4 and "accuracy" in m.summary()
+    if model != "mlc":
+        assert m.scores(spark, "cv").count() == 1
     p = m.predict(img, ["row", "col"], "prob").na.drop().first()
     assert p.prob_high + p.prob_low == pytest.approx(1, abs=1e-6)
 

@@ -30,7 +30,7 @@ from .texts import mix, slices, utf8, words
 THRESHOLD = 0.8
 BUCKET_BITS, SLICE_BITS, HASH_BITS, LEVEL_BITS, LINE_BITS = 20, 10, 40, 6, 18
 _HASH, _ID = np.uint64((1 << HASH_BITS) - 1), np.uint64((1 << (HASH_BITS + LEVEL_BITS)) - 1)
-_BYTES, _ROWS = 512 << 10, 200_000
+_BYTES, _ROWS = 1 << 20, 200_000
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +47,19 @@ def _first(batches):
     count = np.zeros(1 << BUCKET_BITS, np.int64)
     flat = np.zeros(1 << BUCKET_BITS, np.uint8)
     names = ["kind", "row", "doc_id", "line", "set", "counts"]
+    held, words_ = [], 0
     for b, lo, hi, ids, first, h, text_at in _parts(batches, flat):
-        count += np.bincount((ids & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64), minlength=len(count))
+        held.append((ids & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32))
+        words_ += len(ids)
+        if words_ > len(count):  # the table is gone through once for as many words
+            count += np.bincount(np.concatenate(held), minlength=len(count))
+            held, words_ = [], 0
         has = np.flatnonzero(np.diff(first))
         text = np.searchsorted(text_at, has, "right") - 1
         own = [b.column(i).slice(lo, hi - lo).take(pa.array(text)) for i in (0, 1)]  # not the texts
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(has), np.int32)), *own, pa.array(has - text_at[text]), pa.array(h.view(np.int64)[has]), pa.nulls(len(has), pa.binary())], names)
+    if held:
+        count += np.bincount(np.concatenate(held), minlength=len(count))
     rows = count.astype(np.uint32).reshape(-1, 1 << SLICE_BITS)
     some = np.flatnonzero(rows.any(axis=1))
     none = pa.nulls(len(some), pa.int64())

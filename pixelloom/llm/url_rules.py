@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Table, col
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.001, 0.3, 1.25
-#: Rows that the rules are fitted on; with more, those of the least hash.
+#: Rows that FP-growth gets, about; it finds candidates, which are counted over all rows.
 FIT_ROWS = 1_000_000
 
 
@@ -52,32 +52,41 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
     ``min_support`` of the rows, if the bad share of its rows is at least
     ``min_confidence`` and ``min_lift`` times the share of all rows, and if no
     proper subset that is a rule is as confident. Without labelled rows, or
-    without bad ones, there are no rules."""
+    without bad ones, there are no rules.
+
+    All rows count. They are grouped by token set and label; with more than
+    ``fit_rows`` bad ones FP-growth gets each group's rows in units of several,
+    rounded up, so that it misses no set, and what it finds is counted again
+    over all groups: the rules are the same for any ``fit_rows``."""
     spark = labelled.sparkSession
     rows = labelled.where(col(bad).isNotNull() & col(url).isNotNull()).select(url_tokens(col(url)).alias("tokens"), col(bad).alias("bad"))
-    rows = Table(rows, "labelled")
-    n, n_bad = rows.df.agg(F.count(F.lit(1)), F.sum(F.col("bad").cast("long"))).first()
+    rows = Table(rows.groupBy("tokens", "bad").agg(F.count(F.lit(1)).alias("n")), "labelled").df
+    n, n_bad = rows.agg(F.sum("n"), F.sum(F.when(F.col("bad"), F.col("n")))).first()
     none = Table(spark.createDataFrame([], "rule long, tokens array<string>, support double, confidence double"), "rules")
     if not n or not n_bad:
         return none
-    fit = rows.df
-    if n > fit_rows:
-        fit = fit.orderBy(F.xxhash64("tokens", "bad"), "bad").limit(fit_rows)
-        n, n_bad = fit.agg(F.count(F.lit(1)), F.sum(F.col("bad").cast("long"))).first()
     # tokens of nearly all rows tell nothing, and tokens below the support can't be in a rule
-    items = fit.where("bad").select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= F.lit(min_support * n))
-    common = fit.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= F.lit(0.98 * n))
+    items = rows.where("bad").select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("count")).where(F.col("count") >= F.lit(min_support * n))
+    common = rows.select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("count")).where(F.col("count") >= F.lit(0.98 * n))
     items = Table(items.join(common, "t", "left_anti").select(F.col("t").alias("item")), "items")
-    marked = fit.withColumn("r", F.monotonically_increasing_id()).select("r", "bad", F.explode("tokens").alias("t"))
-    basket = marked.join(items.small(), F.col("t") == F.col("item")).groupBy("r", "bad").agg(F.collect_set("t").alias("items"))
-    basket = Table(basket.select(F.array_sort("items").alias("tokens"), "bad"), "baskets")
-    # of the bad rows all frequent sets; how often they occur at all is counted by matching
-    if not n_bad or basket.df.where("bad").isEmpty():
+    marked = rows.withColumn("r", F.monotonically_increasing_id()).select("r", "bad", "n", F.explode("tokens").alias("t"))
+    basket = marked.join(items.small(), F.col("t") == F.col("item")).groupBy("r", "bad", "n").agg(F.array_sort(F.collect_set("t")).alias("tokens"))
+    basket = Table(basket.groupBy("tokens", "bad").agg(F.sum("n").alias("n")), "baskets")
+    # of the bad rows all sets that may be frequent; how often they occur is counted by matching
+    unit = max(1, n_bad // fit_rows)
+    copies = F.ceil(F.col("n") / F.lit(float(unit))).cast("long")
+    bad_sets = basket.df.where("bad").select("tokens", copies.alias("copies"))
+    total = bad_sets.agg(F.sum("copies")).first()[0]
+    if not total:
         return none
-    frequent = FPGrowth(itemsCol="tokens", minSupport=max(min_support * n / n_bad, 1e-12), minConfidence=1.0).fit(basket.df.where("bad").select("tokens")).freqItemsets
-    sets = Table(frequent.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad_n")).withColumn("rule", F.xxhash64("tokens")), "sets")
-    all_n = match(basket.df, sets.df, "bad").groupBy("rule").agg(F.count(F.lit(1)).alias("all_n"))
-    confident = sets.df.join(all_n, "rule").withColumn("confidence", F.col("bad_n") / F.col("all_n")).where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= F.lit(min_lift * n_bad / n)))
+    parts = bad_sets.select("tokens", "copies", F.explode(F.expr("sequence(0L, (copies - 1) div 1000)")).alias("part")).repartition(spark.sparkContext.defaultParallelism)
+    bad_sets = parts.select("tokens", F.explode(F.expr("sequence(1L, least(1000L, copies - 1000 * part))")).alias("copy")).select("tokens")
+    least = min_support * n / unit / total * (1 - 1e-9)  # one less by rounding is no loss
+    found = FPGrowth(itemsCol="tokens", minSupport=min(1.0, max(least, 1e-12)), minConfidence=1.0).fit(bad_sets).freqItemsets
+    sets = Table(found.select(F.array_sort("items").alias("tokens")).withColumn("rule", F.xxhash64("tokens")), "sets")
+    times = match(basket.df.withColumn("of", F.struct("bad", "n")), sets.df, "of").groupBy("rule").agg(F.sum("of.n").alias("all_n"), F.sum(F.when(F.col("of.bad"), F.col("of.n"))).alias("bad_n"))
+    frequent = sets.df.join(times, "rule").where(F.col("bad_n") >= F.lit(min_support * n))
+    confident = frequent.withColumn("confidence", F.col("bad_n") / F.col("all_n")).where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= F.lit(min_lift * n_bad / n)))
     confident = Table(confident.select("rule", "tokens", (F.col("bad_n") / F.lit(float(n))).alias("support"), "confidence"), "confident")
     c = confident.df
     # subsets are found by the same inverted index, with rules in the place of pages

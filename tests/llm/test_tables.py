@@ -274,6 +274,24 @@ def test_url_rules(spark):
     assert url_rules.mine(df.where("not bad")).df.count() == 0
 
 
+def test_url_rules_are_of_all_rows(spark):
+    """The number of rows that FP-growth gets doesn't change the rules."""
+    random.seed(5)
+    rows = []
+    for _ in range(1500):
+        k = random.randrange(60)
+        url = f"http://h{k}.example.org/{random.choice(['en', 'de', 'fr'])}/{random.randrange(10**6)}{random.choice(['', '.html', '?page=2', '/'])}"
+        rows.append((url, random.random() < (0.7 if k < 12 else 0.1)))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    toks = [r.t for r in df.select(url_rules.url_tokens(F.col("url")).alias("t")).collect()]
+    want = brute_rules([(set(t), b) for t, (_, b) in zip(toks, rows)], 0.004, url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT)
+    assert len(want) >= 12
+    for fit_rows in (url_rules.FIT_ROWS, 200, 20):
+        got = {frozenset(r.tokens): (r.confidence, r.support) for r in url_rules.mine(df, min_support=0.004, fit_rows=fit_rows).df.collect()}
+        assert {s: c for s, (c, _) in got.items()} == pytest.approx(want)
+        assert all(x == pytest.approx(sum(b and s <= set(t) for t, (_, b) in zip(toks, rows)) / len(rows)) for s, (_, x) in got.items())
+
+
 def test_labels_join_pages_by_the_number_in_the_url(spark):
     pages = spark.createDataFrame([(9, "http://a.b/en/1?x=3"), (8, "http://a.b/en/2.html"), (7, "http://a.b/"), (6, None)], "page_id long, url string")
     labels = spark.createDataFrame([(1, 0, 0), (2, 1, None), (None, 0, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")

@@ -8,7 +8,9 @@ and all pairs of a region, that is of a run of documents with a common prefix;
 a region's depth adapts: it starts at MIN_DEPTH minima, and a region of more
 than REGION documents is cut at one minimum more, down to the full depth. What
 is still larger there (thousands of copies) is compared with leaders: every
-document with each leader, and it becomes one where none matches.
+document with each leader, and it becomes one where none matches. Documents of a
+region that was cut and is not one group afterwards go through TREES further
+orders, of other minima together, as pairs may lie in different parts of it.
 
 A pair matches if the estimate of its Jaccard similarity, from the low bytes of
 all minima, is THRESHOLD at least. Matches are linked to groups (connected
@@ -17,6 +19,8 @@ components) by alternating stars; of each group the least id stays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -103,7 +107,13 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
     return Table(rows.mapInArrow(lambda it: _signed(it, n, hashes), "node long, doc_id long, row long, sig binary"), "signatures")
 
 
-def _forest(batches, trees: int, depth: int):
+def minima_of(tree: int, trees: int, depth: int, hashes: int, again: bool) -> np.ndarray:
+    """The minima that a tree sorts by: runs of them, in the further orders every
+    ``trees``-th."""
+    return (np.arange(depth) * trees + tree if again else np.arange(tree * depth, (tree + 1) * depth)) % hashes
+
+
+def _forest(batches, trees: int, depth: int, again: bool):
     """The entries of the sorted orders: (tree, key, node, low), where key has
     the tree's minima, the highest byte first, and low each minimum's low byte."""
     for b in batches:
@@ -114,7 +124,7 @@ def _forest(batches, trees: int, depth: int):
         sig = np.frombuffer(b.column(1).buffers()[2], np.uint32, (off[-1] - off[0]) // 4, off[0]).reshape(n, -1)
         low = fixed(sig.astype(np.uint8))
         for t in range(trees):
-            key = sig[:, np.arange(t * depth, (t + 1) * depth) % sig.shape[1]].astype(">u4")
+            key = sig[:, minima_of(t, trees, depth, sig.shape[1], again)].astype(">u4")
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), fixed(np.ascontiguousarray(key).view(np.uint8)), b.column(0), low], ["tree", "key", "node", "low"])
 
 
@@ -185,11 +195,26 @@ def regions(prefix: np.ndarray, min_depth: int, depth: int, most: int) -> list[t
     return out
 
 
+def prefixes(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The common prefix of each sorted entry and the one before, -1 at a tree's first."""
+    n, depth = len(tree), key.shape[1] // 4
+    same = (key[1:].reshape(n - 1, depth, 4) == key[:-1].reshape(n - 1, depth, 4)).all(axis=2) if n > 1 else np.zeros((0, depth), bool)
+    return np.concatenate([[-1], np.where(tree[1:] == tree[:-1], np.logical_and.accumulate(same, axis=1).sum(axis=1), -1)])
+
+
+def unsettled(tree: np.ndarray, key: np.ndarray, root: np.ndarray, min_depth: int, region: int) -> np.ndarray:
+    """Whether each sorted entry is in a region of more than ``region`` that is of
+    more than one group: some of its pairs may not have been compared."""
+    first = np.flatnonzero(prefixes(tree, key) < min_depth)
+    size = np.diff(np.append(first, len(tree)))
+    several = np.maximum.reduceat(root, first) != np.minimum.reduceat(root, first)
+    return np.repeat((size > region) & several, size)
+
+
 def linked(tree: np.ndarray, key: np.ndarray, low: np.ndarray, threshold: float, min_depth: int, region: int) -> np.ndarray:
     """The group of each sorted entry: the number of its first entry."""
     n, depth = len(tree), key.shape[1] // 4
-    same = (key[1:].reshape(n - 1, depth, 4) == key[:-1].reshape(n - 1, depth, 4)).all(axis=2) if n > 1 else np.zeros((0, depth), bool)
-    prefix = np.concatenate([[-1], np.where(tree[1:] == tree[:-1], np.logical_and.accumulate(same, axis=1).sum(axis=1), -1)])
+    prefix = prefixes(tree, key)
     links = Links(n)
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
@@ -226,8 +251,8 @@ def linked(tree: np.ndarray, key: np.ndarray, low: np.ndarray, threshold: float,
 
 def _link(batches, threshold: float, min_depth: int, region: int):
     """Of the sorted entries of a partition: (kind 0, node, the first node of its
-    group), and its first and last entries (kind 1), which lie beside those of
-    the partitions before and after it."""
+    group), its first and last entries (kind 1), which lie beside those of the
+    partitions before and after it, and the nodes that are unsettled (kind 2)."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -238,6 +263,7 @@ def _link(batches, threshold: float, min_depth: int, region: int):
     del got
     root = linked(tree, key, low, threshold, min_depth, region)
     i = np.flatnonzero((root != np.arange(len(root))) & (node[root] != node))
+    open_ = np.unique(node[unsettled(tree, key, root, min_depth, region)])
     part = TaskContext.get().partitionId()
     edge = [0, len(tree) - 1]
     none = pa.nulls(len(i), pa.binary())
@@ -245,6 +271,8 @@ def _link(batches, threshold: float, min_depth: int, region: int):
     at = np.array([2 * part, 2 * part + 1])
     whole = np.concatenate([tree[edge].astype(">u4").view(np.uint8).reshape(2, 4), key[edge]], axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(2, np.int32)), pa.array(node[edge]), pa.array(at), fixed(whole), fixed(low[edge])], ["kind", "u", "v", "key", "low"])
+    none = pa.nulls(len(open_), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), 2, np.int32)), pa.array(open_), pa.array(open_), none, none], ["kind", "u", "v", "key", "low"])
 
 
 def _seams(links: DataFrame, threshold: float, min_depth: int) -> DataFrame:
@@ -285,18 +313,27 @@ def components(edges: DataFrame) -> Table:
         seen = mark
 
 
+def _links(sigs: DataFrame, threshold: float, again: bool) -> Table:
+    """What ``_link`` finds in the orders of the signatures (node, sig)."""
+    tasks = max(sigs.sparkSession.sparkContext.defaultParallelism, -(-sigs.count() * TREES // ENTRIES))
+    forest = sigs.mapInArrow(lambda it: _forest(it, TREES, DEPTH, again), "tree int, key binary, node long, low binary")
+    forest = forest.repartitionByRange(tasks, "tree", "key").sortWithinPartitions("tree", "key")
+    return Table(forest.mapInArrow(lambda it: _link(it, threshold, MIN_DEPTH, REGION), "kind int, u long, v long, key binary, low binary"), "links")
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
     """(doc_id, row, keep, kept_doc_id) of the rows that have near copies; see
     ``near_pairs`` and ``near_dedup``."""
     sigs = signatures(docs, text, doc_id, n)
-    entries = sigs.df.count() * TREES
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-entries // ENTRIES))
-    forest = sigs.df.select("node", "sig").mapInArrow(lambda it: _forest(it, TREES, DEPTH), "tree int, key binary, node long, low binary")
-    forest = forest.repartitionByRange(tasks, "tree", "key").sortWithinPartitions("tree", "key")
-    links = Table(forest.mapInArrow(lambda it: _link(it, threshold, MIN_DEPTH, REGION), "kind int, u long, v long, key binary, low binary"), "links")
-    edges = links.df.where("kind = 0").select("u", "v").unionByName(_seams(links.df, threshold, MIN_DEPTH))
-    label = components(edges)
-    links.drop()
+    some = sigs.df.select("node", "sig")
+    made = [_links(some, threshold, False)]
+    again = Table(made[0].df.where("kind = 2").select(F.col("u").alias("again")).distinct(), "again")
+    if not again.df.isEmpty():
+        made.append(_links(some.join(again.small(), F.col("node") == F.col("again"), "left_semi"), threshold, True))
+    edges = [links.df.where("kind = 0").select("u", "v").unionByName(_seams(links.df, threshold, MIN_DEPTH)) for links in made]
+    label = components(reduce(DataFrame.unionByName, edges))
+    for t in (*made, again):
+        t.drop()
     nodes = label.df.select("u", F.col("v").alias("group")).unionByName(label.df.select(F.col("v").alias("u"), F.col("v").alias("group")).distinct())
     nodes = Table(nodes, "groups")
     label.drop()

@@ -87,6 +87,31 @@ def test_large_regions_are_compared_with_leaders():
     assert len({(a, b) for a, b in zip(which, root)}) == 3 == len(set(root))
 
 
+def test_pairs_among_thousands_that_share_a_passage():
+    """Pairs of J 0.6 among documents that all share two thirds of their trigrams;
+    low bytes tell the pairs apart, so that only pairs which were compared link."""
+    rng, pairs = np.random.default_rng(0), 2000
+    parts = [np.broadcast_to(rng.integers(0, 2**32, 200, dtype=np.uint32), (2 * pairs, 200))]
+    parts += [np.repeat(rng.integers(0, 2**32, (pairs, 25), dtype=np.uint32), 2, axis=0), rng.integers(0, 2**32, (2 * pairs, 75), dtype=np.uint32)]
+    sig = near_dedup.minima(np.concatenate(parts, axis=1).reshape(-1), np.arange(2 * pairs + 1) * 300, near_dedup.HASHES)
+    low = np.repeat(rng.integers(0, 256, (pairs, near_dedup.HASHES)).astype(np.uint8), 2, axis=0)
+    links, some = near_dedup.Links(2 * pairs), np.arange(2 * pairs)
+    for again in (False, True):
+        left = np.zeros(2 * pairs, bool)
+        for t in range(near_dedup.TREES):
+            k = sig[some][:, near_dedup.minima_of(t, near_dedup.TREES, near_dedup.DEPTH, near_dedup.HASHES, again)]
+            o = np.lexsort(k.T[::-1])
+            key, tree = np.ascontiguousarray(k[o].astype(">u4")).view(np.uint8), np.zeros(len(o), int)
+            r = near_dedup.linked(tree, key, low[some[o]], near_dedup.THRESHOLD, near_dedup.MIN_DEPTH, near_dedup.REGION)
+            links.add(some[o], some[o[r]])
+            left[some[o[near_dedup.unsettled(tree, key, r, near_dedup.MIN_DEPTH, near_dedup.REGION)]]] = True
+        some = np.flatnonzero(left)
+    root = links.roots()
+    found = np.mean(root[::2] == root[1::2])
+    print("compared:", found)
+    assert found >= 0.95
+
+
 def brute_pairs(rows, n=3):
     grams, where = {}, defaultdict(set)
     for i, t in rows:

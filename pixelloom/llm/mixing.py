@@ -32,9 +32,10 @@ def _weight(source: Column, weights: dict[str, float], default: float) -> Column
     return w
 
 
-def _plan(docs: DataFrame, weights: dict, default: float, budget: int | None, seed: str, text: str, doc_id: str, source: str) -> tuple[DataFrame, DataFrame]:
+def _plan(docs: DataFrame, weights: dict, default: float, budget: int | None, seed: str, text: str, doc_id: str, source: str, tokens: Column | None) -> tuple[DataFrame, DataFrame]:
     """(documents' keys and running sums, each source's epochs and cut)."""
-    narrow = Table(docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), word_count(col(text)).alias("tokens"), _key(seed, col(doc_id), col(text)).alias("key")), "mix").df
+    n = word_count(col(text)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
+    narrow = Table(docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), n.alias("tokens"), _key(seed, col(doc_id), col(text)).alias("key")), "mix").df
     all_ = Window.partitionBy()  # of the sources' table, not of the documents
     w = _weight(F.col("source"), weights, default)
     total = F.sum("total").over(all_) if budget is None else F.lit(int(budget))
@@ -52,7 +53,7 @@ def _plan(docs: DataFrame, weights: dict, default: float, budget: int | None, se
     return sums, Table(per.join(cut.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "mix-cuts").small()
 
 
-def mix_plan(docs: DataFrame, weights: dict = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget: int | None = None, seed: str = SEED, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def mix_plan(docs: DataFrame, weights: dict = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget: int | None = None, seed: str = SEED, text: str = "text", doc_id: str = "doc_id", source: str = "source", tokens: Column | None = None) -> DataFrame:
     """(doc_id, source, epoch, tokens, used): a row for each time that a document
     is taken. The ``used`` of a source sum to its budget exactly.
 
@@ -63,9 +64,10 @@ def mix_plan(docs: DataFrame, weights: dict = WEIGHTS, default_weight: float = D
     that share an id (or, where it is null, a text) share a key: they are taken
     together, fewer tokens first, with used 0 beyond the budget. Null and empty
     texts have 0 tokens and are taken with the keys around them. A source
-    without tokens, or an empty table, gives no rows. No columns but the three
-    named are read."""
-    sums, cuts = _plan(docs, weights, default_weight, budget, seed, text, doc_id, source)
+    without tokens, or an empty table, gives no rows. ``tokens`` is a document's
+    token count (words by default, 0 where it is null). No columns but the three
+    named and those of ``tokens`` are read."""
+    sums, cuts = _plan(docs, weights, default_weight, budget, seed, text, doc_id, source, tokens)
     cuts = cuts.select("s", "cut")
     taken = sums.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("last", F.col("epochs") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0))
     rows = taken.where("last > 0").select("doc_id", "source", "tokens", "start", "rest", "epochs", F.explode(F.expr("sequence(1L, last)")).alias("epoch"))
@@ -73,11 +75,11 @@ def mix_plan(docs: DataFrame, weights: dict = WEIGHTS, default_weight: float = D
     return rows.select("doc_id", "source", "epoch", "tokens", used.cast("long").alias("used"))
 
 
-def mix(docs: DataFrame, weights: dict = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget: int | None = None, seed: str = SEED, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget: int | None = None, seed: str = SEED, text: str = "text", doc_id: str = "doc_id", source: str = "source", tokens: Column | None = None) -> DataFrame:
     """The documents as ``mix_plan`` takes them, whole and with all their columns:
     a row for each epoch. The texts are not shuffled: a document's key against
     its source's cut tells how often it is taken."""
-    _, cuts = _plan(docs, weights, default_weight, budget, seed, text, doc_id, source)
+    _, cuts = _plan(docs, weights, default_weight, budget, seed, text, doc_id, source, tokens)
     names = {n: free_name(docs, n) for n in ("mix_s", "mix_cut", "mix_epochs")}
     cuts = cuts.select(F.col("s").alias(names["mix_s"]), F.col("cut").alias(names["mix_cut"]), F.col("epochs").alias(names["mix_epochs"]))
     times = F.col(names["mix_epochs"]) + F.when(_key(seed, col(doc_id), col(text)) <= F.col(names["mix_cut"]), 1).otherwise(0)

@@ -70,6 +70,15 @@ def test_mix_edges(spark, weights, budget):
     assert Counter(r.doc_id for r in whole.collect()) == Counter(x for k, v in got.items() for x in [k[0]] * v)
 
 
+def test_mix_counts_given_tokens(spark):
+    rows = [(i, "w " * (i % 3), f"s{i % 2}", 7 * i % 11) for i in range(40)] + [(40, "a b", "s0", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    got = Counter((r.doc_id, r.source, r.epoch, r.tokens, r.used) for r in mixing.mix_plan(df, {"s0": 3.0}, tokens=F.col("n")).collect())
+    assert got == brute_mix([(i, "w " * (n or 0), s) for i, _, s, n in rows], {"s0": 3.0}, 1.0, None, mixing.SEED)
+    whole = Counter(r.doc_id for r in mixing.mix(df, {"s0": 3.0}, tokens=F.col("n")).collect())
+    assert whole == Counter(x[0] for x in got.elements())
+
+
 def test_mix_budgets_are_exact(spark, monkeypatch):
     monkeypatch.setattr(common, "ROWS_PER_BUCKET", 7)
     docs = spark.read.parquet(f"{SF}/documents.parquet")

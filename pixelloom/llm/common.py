@@ -11,8 +11,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes up to which a written table is broadcast in a join.
+#: Bytes of files up to which a written table is broadcast in a join; in memory it may have twice as many.
 BROADCAST_BYTES = 32 << 20
+_WIDTHS = {"bigint": 8, "int": 8, "double": 8, "boolean": 8}
 #: Rows that one task ranks or sums at a time, about.
 ROWS_PER_BUCKET = 200_000
 
@@ -67,10 +68,15 @@ class Table:
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return fs.getContentSummary(p).getLength()
 
-    def small(self) -> DataFrame:
-        """The rows, marked for broadcasting if they are few enough; Spark
-        chooses a shuffled join otherwise."""
-        return F.broadcast(self.df) if self.bytes() <= BROADCAST_BYTES else self.df
+    def small(self, df: DataFrame | None = None) -> DataFrame:
+        """The rows (or those of ``df``, which has some of the columns), marked for
+        broadcasting if they are few enough; Spark chooses a shuffled join otherwise."""
+        df = self.df if df is None else df
+        if self.bytes() > BROADCAST_BYTES:
+            return df
+        # compressed files don't tell the size in memory: rows (from the files' footers) by their width
+        width = 16 + sum(_WIDTHS.get(kind, 64) for _, kind in df.dtypes)
+        return F.broadcast(df) if self.df.count() * width <= BROADCAST_BYTES * 2 else df
 
     def drop(self) -> None:
         """Delete the files, once nothing reads them any more."""
@@ -110,6 +116,20 @@ def free_name(df: DataFrame, name: str, *others: str) -> str:
     return name
 
 
+def id_column(df: DataFrame, name: str) -> Column:
+    """An id for use as a key: integers as long, other types as they are (those that
+    can't be ordered or compared as JSON)."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("tinyint", "smallint", "int", "bigint", "void"):
+        return col(name).cast("long")
+    return F.to_json(F.struct(col(name))) if "map<" in kind or "variant" in kind else col(name)
+
+
+def plain_columns(df: DataFrame) -> list[Column]:
+    """All columns, those that can't be compared or hashed as their JSON."""
+    return [F.to_json(F.struct(col(c))) if "map<" in kind or "variant" in kind else col(c) for c, kind in df.dtypes]
+
+
 def col(name: str) -> Column:
     """The column of just that name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

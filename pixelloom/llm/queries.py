@@ -66,6 +66,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.mix_sql(),
         "op2_chat_format": chat.CHAT_SQL,
+        "op4_line_dedup": line_dedup.lines_sql(),
         "op5_quality_rules": quality.quality_sql(kept="doc_id, lang, source"),
         "op8_exact_dedup": exact_dedup.EXACT_SQL,
     }

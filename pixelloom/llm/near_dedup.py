@@ -1,14 +1,14 @@
 """MinHash near-dedup with an LSH forest.
 
 Signatures: the minima of HASHES permutations over a text's word trigrams.
-Forest: each of TREES trees sorts the documents by its own 8 minima, range-
-partitioned over the cluster. In a sorted order, documents that share a prefix
-lie side by side. Candidates are the neighbours with the longest common prefix,
-and all pairs of a region, that is of a run of documents with a common prefix;
-a region's depth adapts: it starts at MIN_DEPTH minima, and a region of more
-than REGION documents is cut at one minimum more, down to the full depth. What
-is still larger there (thousands of copies) is compared with leaders: every
-document with each leader, and it becomes one where none matches. Documents of a
+Documents of equal signatures are one entry of the forest.
+Forest: each of TREES trees sorts the entries by its own 8 minima, partitioned
+over the cluster by ranges of the first MIN_DEPTH of them. In a sorted order,
+documents that share a prefix lie side by side. Candidates are the neighbours
+with the longest common prefix, and all pairs of a region, that is of a run of
+documents with a common prefix; a region's depth adapts: it starts at MIN_DEPTH
+minima, and a region of more than REGION entries is cut at one minimum more, down
+to the full depth, at which all pairs count whatever its size. Documents of a
 region that was cut and is not one group afterwards go through TREES further
 orders, of other minima together, as pairs may lie in different parts of it.
 
@@ -23,17 +23,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, col, free_name, spread
+from .common import Table, col, free_name, id_column, plain_columns, spread
 from .texts import mix, slices, utf8, words
 
 HASHES, TREES, DEPTH, MIN_DEPTH, REGION = 128, 16, 8, 2, 64
 WORDS = 3
 THRESHOLD = 0.55
-#: Entries of the sorted orders that one task holds.
+#: Entries of the sorted orders that one task gets, and that it takes up at a time.
 ENTRIES = 200_000
 _CHUNK = 1 << 17
 
@@ -99,12 +98,12 @@ def _signed(batches, n: int, hashes: int):
 
 
 def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = WORDS, hashes: int = HASHES) -> Table:
-    """The written table (node, doc_id, row, sig) of the documents that have a
-    word; ``row`` hashes all columns."""
-    kinds = dict(docs.dtypes)
-    plain = [col(c) if not kinds[c].startswith(("map", "variant")) else F.to_json(F.struct(col(c))) for c in docs.columns]
-    rows = spread(docs).select(F.monotonically_increasing_id().alias("node"), col(doc_id).cast("long").alias("doc_id"), F.xxhash64(*plain).alias("row"), col(text).alias("text"))
-    return Table(rows.mapInArrow(lambda it: _signed(it, n, hashes), "node long, doc_id long, row long, sig binary"), "signatures")
+    """The written table (node, doc_id, row, sig, digest) of the documents that have
+    a word; ``row`` hashes all columns, ``digest`` the signature."""
+    rows = spread(docs).select(F.monotonically_increasing_id().alias("node"), id_column(docs, doc_id).alias("doc_id"), F.xxhash64(*plain_columns(docs)).alias("row"), col(text).cast("string").alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    signed = rows.mapInArrow(lambda it: _signed(it, n, hashes), f"node long, doc_id {kind}, row long, sig binary")
+    return Table(signed.withColumn("digest", F.unhex(F.md5("sig"))), "signatures")
 
 
 def minima_of(tree: int, trees: int, depth: int, hashes: int, again: bool) -> np.ndarray:
@@ -174,23 +173,27 @@ class Links:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def regions(prefix: np.ndarray, min_depth: int, depth: int, most: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def regions(prefix: np.ndarray, min_depth: int, depth: int, most: int, last: int = -1) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Runs (first entries, past entries, depth) of the sorted entries. prefix[i]
     is the common prefix of entries i-1 and i, -1 at a tree's first. Larger
-    runs than ``most`` are cut at one minimum more, up to ``depth``."""
+    runs than ``most`` are cut at one minimum more, up to ``depth``. ``last`` is the
+    common prefix of the last entry and the one after it, prefix[0] that of the
+    first and the one before it: a run that goes on there is larger than ``most``."""
     out, n = [], len(prefix)
     live = np.ones(n, bool)
     for d in range(min_depth, depth + 1):
-        first = np.flatnonzero((prefix < d) & live)
-        if not len(first):
-            break
-        past = np.append(np.flatnonzero(prefix < d), n)
-        past = past[np.searchsorted(past, first, "right")]
+        starts = np.flatnonzero(prefix < d)
+        if not len(starts):
+            continue
+        past = np.append(starts[1:], n)
+        first = starts[live[starts]]
+        past = past[live[starts]]
         size = past - first
-        done = (size > 1) & ((size <= most) | (d == depth))
+        whole = (past < n) | (last < d)
+        done = (size > 1) & ((size <= most) | (d == depth)) & whole
         if done.any():
             out.append((first[done], past[done], d))
-        for a, b in zip(first[done | (size == 1)], past[done | (size == 1)]):
+        for a, b in zip(first[done | ((size == 1) & whole)], past[done | ((size == 1) & whole)]):
             live[a:b] = False
     return out
 
@@ -202,20 +205,30 @@ def prefixes(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.concatenate([[-1], np.where(tree[1:] == tree[:-1], np.logical_and.accumulate(same, axis=1).sum(axis=1), -1)])
 
 
-def unsettled(tree: np.ndarray, key: np.ndarray, root: np.ndarray, min_depth: int, region: int) -> np.ndarray:
+def unsettled(tree: np.ndarray, key: np.ndarray, root: np.ndarray, min_depth: int, region: int, before: int = -1, last: int = -1) -> np.ndarray:
     """Whether each sorted entry is in a region of more than ``region`` that is of
-    more than one group: some of its pairs may not have been compared."""
-    first = np.flatnonzero(prefixes(tree, key) < min_depth)
-    size = np.diff(np.append(first, len(tree)))
+    more than one group, or goes on elsewhere: some of its pairs may not have been
+    compared. before and last: the common prefix with the entry before the first
+    and the one after the last."""
+    prefix = prefixes(tree, key)
+    prefix[0] = before
+    first = np.flatnonzero(prefix < min_depth)
+    first = np.union1d(first, [0])
+    size = np.diff(np.append(first, len(prefix)))
     several = np.maximum.reduceat(root, first) != np.minimum.reduceat(root, first)
-    return np.repeat((size > region) & several, size)
+    open_ = (size > region) & several
+    open_[0] |= prefix[0] >= min_depth
+    open_[-1] |= last >= min_depth
+    return np.repeat(open_, size)
 
 
-def linked(tree: np.ndarray, key: np.ndarray, low: np.ndarray, threshold: float, min_depth: int, region: int) -> np.ndarray:
-    """The group of each sorted entry: the number of its first entry."""
+def linked(tree: np.ndarray, key: np.ndarray, low: np.ndarray, threshold: float, min_depth: int, region: int, before: int = -1, last: int = -1) -> np.ndarray:
+    """The group of each sorted entry: the number of its first entry. before and last:
+    the common prefix with the entry before the first and the one after the last."""
     n, depth = len(tree), key.shape[1] // 4
     prefix = prefixes(tree, key)
-    links = Links(n)
+    prefix[0] = before
+    links, need = Links(n), least_equal(low.shape[1], threshold)
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
         for k in range(0, len(i), 1 << 16):
@@ -223,9 +236,9 @@ def linked(tree: np.ndarray, key: np.ndarray, low: np.ndarray, threshold: float,
             ok = close(low[a], low[b], threshold)
             links.add(a[ok], b[ok])
 
-    near = np.flatnonzero(prefix >= min_depth)
+    near = np.flatnonzero(prefix[1:] >= min_depth) + 1
     compare(near - 1, near)  # the neighbours with the longest common prefix
-    for first, past, _ in regions(prefix, min_depth, depth, region):
+    for first, past, _ in regions(prefix, min_depth, depth, region, last):
         small = past - first <= region
         group = np.full(n, -1)
         for a, b in zip(first[small], past[small]):
@@ -237,59 +250,68 @@ def linked(tree: np.ndarray, key: np.ndarray, low: np.ndarray, threshold: float,
             r = links.roots()
             i = i[r[i] != r[i + step]]  # those that are linked already need no comparison
             compare(i, i + step)
-        need = least_equal(low.shape[1], threshold)
         for a, b in zip(first[~small], past[~small]):
+            # all pairs, group by group: what is in a group is compared with all that is in none yet
             free = np.arange(a, b)
             while len(free):
-                leader, others = free[0], np.arange(a, b)
-                ok = np.count_nonzero(low[a:b] == low[leader], axis=1) >= need
-                links.add(np.full(int(ok.sum()), leader), others[ok])
-                free = free[~ok[free - a]]
-                free = free[free != leader]
+                reached, free = [free[0]], free[1:]
+                while reached and len(free):
+                    i = reached.pop()
+                    ok = np.count_nonzero(low[free] == low[i], axis=1) >= need
+                    new, free = free[ok], free[~ok]
+                    links.add(np.full(len(new), i), new)
+                    reached += new.tolist()
     return links.roots()
 
 
-def _link(batches, threshold: float, min_depth: int, region: int):
+def _link(batches, threshold: float, min_depth: int, region: int, most: int):
     """Of the sorted entries of a partition: (kind 0, node, the first node of its
-    group), its first and last entries (kind 1), which lie beside those of the
-    partitions before and after it, and the nodes that are unsettled (kind 2)."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    tree = np.concatenate([b.column(0).to_numpy() for b in got])
-    key = np.concatenate([matrix(b.column(1), b.num_rows) for b in got])
-    node = np.concatenate([b.column(2).to_numpy() for b in got])
-    low = np.concatenate([matrix(b.column(3), b.num_rows) for b in got])
-    del got
-    root = linked(tree, key, low, threshold, min_depth, region)
-    i = np.flatnonzero((root != np.arange(len(root))) & (node[root] != node))
-    open_ = np.unique(node[unsettled(tree, key, root, min_depth, region)])
-    part = TaskContext.get().partitionId()
-    edge = [0, len(tree) - 1]
-    none = pa.nulls(len(i), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(node[i]), pa.array(node[root[i]]), none, none], ["kind", "u", "v", "key", "low"])
-    at = np.array([2 * part, 2 * part + 1])
-    whole = np.concatenate([tree[edge].astype(">u4").view(np.uint8).reshape(2, 4), key[edge]], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(2, np.int32)), pa.array(node[edge]), pa.array(at), fixed(whole), fixed(low[edge])], ["kind", "u", "v", "key", "low"])
-    none = pa.nulls(len(open_), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), 2, np.int32)), pa.array(open_), pa.array(open_), none, none], ["kind", "u", "v", "key", "low"])
-
-
-def _seams(links: DataFrame, threshold: float, min_depth: int) -> DataFrame:
-    """Matches between the last entry of a partition and the first of the next that
-    has any. The window holds two entries of each partition."""
-    w = Window.orderBy("v")
-    head = lambda c: F.substring(c, 1, 4 + 4 * min_depth)
-    ends = links.where("kind = 1").select("u", "v", "key", "low", F.lead("u").over(w).alias("u2"), F.lead("key").over(w).alias("key2"), F.lead("low").over(w).alias("low2"))
-    ends = ends.where((F.col("v") % 2 == 1) & (head("key") == head("key2")) & (F.col("u") != F.col("u2"))).select("u", F.col("u2").alias("v"), "low", "low2")
-
-    def compare(batches):
-        for b in batches:
-            if b.num_rows:
-                ok = close(matrix(b.column(2), b.num_rows), matrix(b.column(3), b.num_rows), threshold)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
-
-    return ends.mapInArrow(compare, "u long, v long")
+    group) and the nodes that are unsettled (kind 2). About ``most`` entries are
+    taken up at a time, which end between two regions, at the least depth at which
+    any does."""
+    before = None  # the entry before the ones at hand
+
+    def links(tree, key, node, low, last):
+        nonlocal before
+        if before is not None:
+            tree, key, node, low = (np.concatenate([x, y]) for x, y in zip(before, (tree, key, node, low)))
+        u, v, since = np.zeros(0, np.int64), np.zeros(0, np.int64), -1
+        if before is not None:
+            since = int(prefixes(tree[:2], key[:2])[1])
+            if since >= min_depth and close(low[:1], low[1:2], threshold)[0]:
+                u, v = node[1:2], node[:1]
+            tree, key, node, low = tree[1:], key[1:], node[1:], low[1:]
+        root = linked(tree, key, low, threshold, min_depth, region, since, last)
+        i = np.flatnonzero(root != np.arange(len(root)))
+        u, v = np.concatenate([u, node[i]]), np.concatenate([v, node[root[i]]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int32)), pa.array(u), pa.array(v)], ["kind", "u", "v"])
+        open_ = np.unique(node[unsettled(tree, key, root, min_depth, region, since, last)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), 2, np.int32)), pa.array(open_), pa.array(open_)], ["kind", "u", "v"])
+        before = tree[-1:], key[-1:], node[-1:], low[-1:]
+
+    held, rows, least = [], 0, most
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append((b.column(0).to_numpy(), matrix(b.column(1), b.num_rows), b.column(2).to_numpy(), matrix(b.column(3), b.num_rows)))
+        rows += b.num_rows
+        if rows < least:
+            continue
+        whole = [np.concatenate(x) for x in zip(*held)]
+        prefix = prefixes(whole[0], whole[1])
+        half = prefix[rows // 2 :]
+        depth = whole[1].shape[1] // 4
+        if half.min() < depth:
+            # regions that go on beyond the cut hold half of the entries and more, so they are cut in any case
+            d = max(int(half.min()), min_depth - 1)
+            cut = rows // 2 + int(np.flatnonzero(half <= d)[-1])
+            yield from links(*(x[:cut] for x in whole), int(prefix[cut]))
+            held, rows = [tuple(x[cut:] for x in whole)], rows - cut
+        else:
+            held = [tuple(whole)]
+        least = max(most, 2 * rows)  # a region of full depth is gathered until it ends
+    if held:
+        yield from links(*(np.concatenate(x) for x in zip(*held)), -1)
 
 
 def components(edges: DataFrame) -> Table:
@@ -300,11 +322,13 @@ def components(edges: DataFrame) -> Table:
     seen = None
     while True:
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", m).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        # minima are combined before they are shuffled, so that no task gets all neighbours of a hub at once
+        large = both.where("v > u").join(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = Table(large, "edges")
+        least = large.df.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.df.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = Table(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
+        large.drop()
         now.drop()
         now = new
         mark = now.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
@@ -317,26 +341,32 @@ def _links(sigs: DataFrame, threshold: float, again: bool) -> Table:
     """What ``_link`` finds in the orders of the signatures (node, sig)."""
     tasks = max(sigs.sparkSession.sparkContext.defaultParallelism, -(-sigs.count() * TREES // ENTRIES))
     forest = sigs.mapInArrow(lambda it: _forest(it, TREES, DEPTH, again), "tree int, key binary, node long, low binary")
-    forest = forest.repartitionByRange(tasks, "tree", "key").sortWithinPartitions("tree", "key")
-    return Table(forest.mapInArrow(lambda it: _link(it, threshold, MIN_DEPTH, REGION), "kind int, u long, v long, key binary, low binary"), "links")
+    # entries of a region share the first minima, and so the partition
+    forest = forest.repartitionByRange(tasks, F.col("tree"), F.substring("key", 1, 4 * MIN_DEPTH)).sortWithinPartitions("tree", "key", "node")
+    return Table(forest.mapInArrow(lambda it: _link(it, threshold, MIN_DEPTH, REGION, ENTRIES), "kind int, u long, v long"), "links")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
     """(doc_id, row, keep, kept_doc_id) of the rows that have near copies; see
     ``near_pairs`` and ``near_dedup``."""
     sigs = signatures(docs, text, doc_id, n)
-    some = sigs.df.select("node", "sig")
+    one = sigs.df.groupBy("digest").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "rep")
+    one = Table(one, "near-repeated")
+    copies = Table(sigs.df.select("node", "digest").join(one.small(), F.col("digest") == F.col("d")).select("node", "rep"), "near-copies")
+    others = copies.small(copies.df.where("node <> rep").select(F.col("node").alias("other")))
+    some = sigs.df.select("node", "sig").join(others, F.col("node") == F.col("other"), "left_anti")
     made = [_links(some, threshold, False)]
     again = Table(made[0].df.where("kind = 2").select(F.col("u").alias("again")).distinct(), "again")
     if not again.df.isEmpty():
-        made.append(_links(some.join(again.small(), F.col("node") == F.col("again"), "left_semi"), threshold, True))
-    edges = [links.df.where("kind = 0").select("u", "v").unionByName(_seams(links.df, threshold, MIN_DEPTH)) for links in made]
-    label = components(reduce(DataFrame.unionByName, edges))
+        made.append(_links(sigs.df.select("node", "sig").join(again.small(), F.col("node") == F.col("again"), "left_semi"), threshold, True))
+    label = components(reduce(DataFrame.unionByName, [links.df.where("kind = 0").select("u", "v") for links in made]))
     for t in (*made, again):
         t.drop()
     nodes = label.df.select("u", F.col("v").alias("group")).unionByName(label.df.select(F.col("v").alias("u"), F.col("v").alias("group")).distinct())
-    nodes = Table(nodes, "groups")
-    label.drop()
+    of = copies.df.join(nodes, F.col("rep") == F.col("u"), "left").select(F.col("node").alias("u"), F.coalesce("group", "rep").alias("group"))
+    nodes = Table(nodes.unionByName(of).distinct(), "groups")
+    for t in (label, one, copies):
+        t.drop()
     rows = sigs.df.select("node", "doc_id", "row").join(nodes.small(), F.col("node") == F.col("u")).select("group", "node", "doc_id", "row")
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"), F.col("node").alias("d"))).alias("first"))
     found = rows.join(first, "group").select("doc_id", "row", (F.col("node") == F.col("first.d")).alias("keep"), F.col("first.b").alias("kept_doc_id"))
@@ -353,7 +383,8 @@ def near_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     Case and punctuation don't count. Texts of fewer words than ``n`` are one
     shingle; null texts and texts without a word are in no group. Null ids lose
     to others. Repeated rows are copies: each but one gives a pair of the same
-    ids. Very long texts are hashed whole. An empty table gives no rows."""
+    ids. Very long texts are hashed whole. Ids keep their type. An empty table gives
+    no rows. Other columns don't matter, whatever their names."""
     return near_groups(docs, text, doc_id, threshold, n).where("NOT keep").select("doc_id", "kept_doc_id")
 
 
@@ -364,14 +395,11 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     found = near_groups(docs, text, doc_id, threshold, n)
     per = found.groupBy("doc_id", "row").agg(F.max(F.col("keep").cast("int")).alias("stay"), F.count(F.lit(1)).alias("n"))
     gone = Table(per.where("stay = 0 OR n > 1"), "near-gone").small()
-    i, r, s = free_name(docs, "near_i"), free_name(docs, "near_r"), free_name(docs, "near_s")
-    kinds = dict(docs.dtypes)
-    plain = [col(c) if not kinds[c].startswith(("map", "variant")) else F.to_json(F.struct(col(c))) for c in docs.columns]
+    i, r, s, h = (free_name(docs, x) for x in ("near_i", "near_r", "near_s", "near_h"))
     gone = gone.select(F.col("doc_id").alias(i), F.col("row").alias(r), F.col("stay").alias(s))
-    h = free_name(docs, "near_h")
-    on = col(doc_id).cast("long").eqNullSafe(F.col(i)) & (F.col(h) == F.col(r))
-    rows = docs.withColumn(h, F.xxhash64(*plain))
+    on = id_column(docs, doc_id).eqNullSafe(F.col(i)) & (F.col(h) == F.col(r))
+    rows = docs.withColumn(h, F.xxhash64(*plain_columns(docs)))
     rest = rows.join(gone, on, "left_anti").select(*[col(c) for c in docs.columns])
     once = rows.join(gone.where(F.col(s) == 1), on, "left_semi")
-    once = once.withColumn(i, F.row_number().over(Window.partitionBy(col(doc_id), h).orderBy(h))).where(F.col(i) == 1)
+    once = once.withColumn(i, F.row_number().over(Window.partitionBy(id_column(docs, doc_id), h).orderBy(h))).where(F.col(i) == 1)
     return rest.unionByName(once.select(*[col(c) for c in docs.columns]))

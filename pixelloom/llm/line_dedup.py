@@ -269,7 +269,7 @@ def _prefixes(batches, level: np.ndarray, seed: int, bits: int, t: float, how: t
     """Records of the sets at their prefixes' words, those of one part of the words in
     a blob: (part, wide, records). A set is sent once in a task, and again only
     for an earlier line."""
-    seen: dict[int, int] = {}
+    seen: dict[tuple[int, int], int] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []
     rows = 0
 
@@ -294,12 +294,13 @@ def _prefixes(batches, level: np.ndarray, seed: int, bits: int, t: float, how: t
         doc = _order(b.column(0).slice(lo, hi - lo), how)[text]
         at = (doc.astype(np.uint64) << np.uint64(16)) | np.minimum(has - text_at[text], 65535).astype(np.uint64)
         # the earliest line of each set
-        o = np.lexsort((at, s.set[has]))
-        o = o[np.append(True, s.set[has[o]][1:] != s.set[has[o]][:-1])[: len(o)]]
+        o = np.lexsort((at, s.low[has], s.set[has]))
         has, at = has[o], at[o]
+        new = np.append(True, (s.set[has][1:] != s.set[has][:-1]) | (s.low[has][1:] != s.low[has][:-1]))[: len(has)]
+        has, at = has[new], at[new]
         if len(seen) > 1_000_000:
             seen.clear()
-        keys, places = s.set[has].tolist(), at.tolist()
+        keys, places = list(zip(s.set[has].tolist(), s.low[has].tolist())), at.tolist()
         go = np.fromiter((seen.get(k, 1 << 62) > x for k, x in zip(keys, places)), bool, len(keys))
         seen.update((k, x) for k, x, g in zip(keys, places, go.tolist()) if g)
         has, at = has[go], at[go]
@@ -437,8 +438,9 @@ def _meet(batches, t: float, most: int | None):
 def _bags(batches, level: np.ndarray, seed: int, bits: int):
     """(set, low, words) of the lines, each set once in a batch."""
     for _, _, _, s, _ in _parts(batches, level, seed, bits):
-        _, once = np.unique(s.set, return_index=True)
-        once = once[s.size[once] > 0]
+        has = np.flatnonzero(s.size)
+        has = has[np.lexsort((s.low[has], s.set[has]))]
+        once = has[np.append(True, (s.set[has][1:] != s.set[has][:-1]) | (s.low[has][1:] != s.low[has][:-1]))[: len(has)]]
         yield pa.RecordBatch.from_arrays([pa.array(s.set.view(np.int64)[once]), pa.array(s.low.view(np.int64)[once]), s.bags(once).cast(pa.string())], ["set", "low", "words"])
 
 

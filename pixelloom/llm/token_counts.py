@@ -9,9 +9,9 @@ the exact count at every prefix, without encoding any of them.
 Texts are cut into pieces first, as the tokenizer does, by character classes in
 numpy over whole batches. A piece's prefix counts are worked out once in a
 worker and then looked up; the counts of a text are gathered from those of its
-pieces and the sums of the pieces before. They are stored as differences, a
-signed byte for each character, so that sums answer where a budget of tokens
-ends and how many tokens any truncation leaves.
+pieces and the sums of the pieces before. They are stored as they are, four bytes
+for each character, so that one look answers how many tokens any truncation
+leaves, and one pass over them where a budget of tokens ends.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, spread
+from .common import col, free_name, id_column, spread
 from .texts import hashes, slices, utf8
 
 #: The budget in the production query.
@@ -221,11 +221,6 @@ def _count(batches, path: str, budget: int):
             part = offsets[lo : hi + 1]
             c, at = _counter(path).counts(data[part[0] : part[-1]], part - part[0])
             n = np.diff(at)
-            step = np.diff(c, prepend=0)
-            starts = at[:-1][n > 0]
-            step[starts] = c[starts]
-            if len(step) and (step.max() > 127 or step.min() < -128):
-                raise OverflowError("a difference of counts takes more than a byte")
             total = np.zeros(hi - lo, np.int64)
             total[n > 0] = c[at[1:][n > 0] - 1]
             # the last character at which the count is within the budget
@@ -234,49 +229,77 @@ def _count(batches, path: str, budget: int):
             k = np.searchsorted(ok, at[1:]) - 1
             got = (k >= 0) & (n > 0)
             cut[got] = np.maximum(ok[k[got]] + 1 - at[:-1][got], 0)
-            blob = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(step.astype(np.int8))])
-            mask = none[lo:hi]
-            if mask.any():
-                blob = pa.array([None if m else b for m, b in zip(mask, blob.to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(total), blob, pa.array(cut)], ["doc_id", "tokens", "steps", "fits"])
+            there = pa.array(~none[lo:hi]).buffers()[1] if none[lo:hi].any() else None
+            blob = pa.Array.from_buffers(pa.binary(), hi - lo, [there, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(c.astype(">i4"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(total), blob, pa.array(cut)], ["doc_id", "tokens", "counts", "fits"])
 
 
 def prefix_counts(docs: DataFrame, budget: int = BUDGET, vocabulary: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, tokens, steps, fits) for each row: its tokens, the difference of
-    the counts at each prefix (a signed byte for each character: the sum of the
-    first k is the exact count of the first k characters), and the characters of
-    the longest prefix of no more than ``budget`` tokens.
-
-    A null text has 0 tokens, null steps and fits 0; an empty one 0 tokens and
-    no steps. Texts are counted whole. Special tokens' names are ordinary text.
-    Repeated rows and ids stay; an empty table gives no rows. No columns but the
-    two named are read. ``vocabulary`` is a path that the workers can read."""
+    """(doc_id, tokens, counts, fits) for each row: its tokens, the count at each
+    prefix (four bytes for each character, the highest first: the k-th is the
+    exact count of the first k characters), and the characters of the longest
+    prefix of no more than ``budget`` tokens.
+
+    A null text has 0 tokens, null counts and fits 0; an empty one 0 tokens and
+    no counts. Texts are counted whole, up to 500 million characters (a value of
+    Spark's has 2 GB at most). Special tokens' names are ordinary text. Where two
+    prefixes have the same count, the longer one fits. Repeated rows and ids stay,
+    ids keep their type; an empty table gives no rows. No columns but the two
+    named are read. ``vocabulary`` is a path that the workers can read."""
     path = vocabulary or default_vocabulary()
-    rows = spread(docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text")))
-    return rows.mapInArrow(lambda it: _count(it, path, budget), "doc_id long, tokens long, steps binary, fits long")
+    rows = spread(docs.select(id_column(docs, doc_id).alias("doc_id"), col(text).cast("string").alias("text")))
+    return rows.mapInArrow(lambda it: _count(it, path, budget), f"doc_id {dict(rows.dtypes)['doc_id']}, tokens long, counts binary, fits long")
 
 
-def count_at(steps: Column, chars: Column) -> Column:
-    """The tokens of the first ``chars`` characters, from the stored steps."""
+def token_count(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> tuple[DataFrame, str]:
+    """The documents with their tokens in one more column, and its name: what mixing
+    and packing take as their token column."""
+    name, path = free_name(docs, "n_tokens"), vocabulary or default_vocabulary()
 
-    def at(s, k):
+    def count(s):
         import pandas as pd
 
-        return pd.Series([None if x is None or i is None or i != i else int(np.frombuffer(x, np.int8)[: max(int(i), 0)].sum(dtype=np.int64)) for x, i in zip(s, k)], dtype="Int64")
+        data, offsets = utf8(pa.array(s, pa.string()))
+        out = []
+        for lo, hi in slices(offsets, 2 << 20):
+            part = offsets[lo : hi + 1]
+            c, at = _counter(path).counts(data[part[0] : part[-1]], part - part[0])
+            n = np.diff(at)
+            total = np.zeros(hi - lo, np.int64)
+            total[n > 0] = c[at[1:][n > 0] - 1]
+            out.append(total)
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
 
-    return F.pandas_udf(at, "long")(steps, chars)
+    return docs.withColumn(name, F.pandas_udf(count, "long")(col(text).cast("string"))), name
 
 
-def longest_within(steps: Column, budget: Column) -> Column:
-    """The characters of the longest prefix of no more than ``budget`` tokens."""
+def count_at(counts: Column, chars: Column) -> Column:
+    """The tokens of the first ``chars`` characters (of all, if there are fewer), from
+    the stored counts: the four bytes there, without user functions."""
+    k = F.least(chars.cast("int"), (F.octet_length(counts) / 4).cast("int"))
+    at = F.conv(F.hex(F.substring(counts, 4 * k - 3, F.lit(4))), 16, 10).cast("long")
+    return F.when(k <= 0, F.lit(0).cast("long")).otherwise(at)
 
-    def at(s, k):
-        import pandas as pd
 
-        def one(x, b):
-            ok = np.flatnonzero(np.cumsum(np.frombuffer(x, np.int8), dtype=np.int64) <= b)
-            return int(ok[-1]) + 1 if len(ok) else 0
+def longest_within(counts: Column, budget: Column) -> Column:
+    """The characters of the longest prefix of no more than ``budget`` tokens. Counts
+    may fall where a character completes a token, so all of them are looked at, those
+    of a whole batch at once."""
 
-        return pd.Series([None if x is None or b is None or b != b else one(x, b) for x, b in zip(s, k)], dtype="Int64")
+    def at(s, b):
+        import pandas as pd
+
+        have = (s.notna() & b.notna()).to_numpy()
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        if have.any():
+            blobs = s[have].tolist()
+            c = np.frombuffer(b"".join(blobs), ">i4")
+            n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            first = np.cumsum(n) - n
+            ok = np.append(0, np.where(c <= np.repeat(b[have].to_numpy(np.int64), n), np.arange(len(c)) - np.repeat(first, n) + 1, 0))
+            last = np.zeros(len(n), np.int64)
+            last[n > 0] = np.maximum.reduceat(ok, first[n > 0] + 1) if (n > 0).any() else 0
+            out[have] = last
+        return out
 
-    return F.pandas_udf(at, "long")(steps, budget)
+    return F.pandas_udf(at, "long")(counts, budget)

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, id_column
 from .texts import utf8
 
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -65,10 +66,10 @@ def _format(batches):
     def done(last: bool):
         nonlocal held, size
         t = pa.Table.from_batches(held).combine_chunks()
-        ids, none = t.column(0).fill_null(0).to_numpy(), t.column(0).is_null().to_numpy(zero_copy_only=False)
-        n = len(ids)
-        new = np.ones(n, bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])
+        n = t.num_rows
+        a, b = t.column(0).slice(1), t.column(0).slice(0, n - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
+        new = np.append(True, ~same.to_numpy())
         cut = n if last else int(np.flatnonzero(new)[-1])
         held, size = ([] if last else t.slice(cut).to_batches()), 0
         # a conversation that goes on grows until it ends
@@ -103,10 +104,11 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     then text (nulls first); repeated rows are all written. A null role is
     written as "user", a null text as nothing. Turns with a null conversation id
     form one conversation. Texts are written byte for byte, whatever they hold;
-    a conversation may be up to 2 GB. An empty table gives no rows."""
-    keys = [col(conv_id).cast("long").alias("conv_id"), col(turn).alias("turn"), col(role).cast("string").alias("role"), col(text).cast("string").alias("text")]
+    a conversation may be up to 2 GB. Ids keep their type. No columns but the four
+    named are read. An empty table gives no rows."""
+    keys = [id_column(turns, conv_id).alias("conv_id"), col(turn).alias("turn"), col(role).cast("string").alias("role"), col(text).cast("string").alias("text")]
     sorted_ = turns.select(*keys).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_.select("conv_id", "role", "text").mapInArrow(_format, "conv_id long, turns long, text string")
+    return sorted_.select("conv_id", "role", "text").mapInArrow(_format, f"conv_id {dict(sorted_.dtypes)['conv_id']}, turns long, text string")
 
 
 CHAT_SQL = """

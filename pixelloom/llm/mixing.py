@@ -65,8 +65,10 @@ def mix_plan(docs: DataFrame, weights: dict = WEIGHTS, default_weight: float = D
     together, fewer tokens first, with used 0 beyond the budget. Null and empty
     texts have 0 tokens and are taken with the keys around them. A source
     without tokens, or an empty table, gives no rows. ``tokens`` is a document's
-    token count (words by default, 0 where it is null). No columns but the three
-    named and those of ``tokens`` are read."""
+    token count (words by default, 0 where it is null; ``token_counts.token_count``
+    gives a tokenizer's). Very long texts are counted whole. Ids keep their type.
+    No columns but the three named and those of ``tokens`` are read, whatever the
+    others' names."""
     sums, cuts = _plan(docs, weights, default_weight, budget, seed, text, doc_id, source, tokens)
     cuts = cuts.select("s", "cut")
     taken = sums.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("last", F.col("epochs") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0))

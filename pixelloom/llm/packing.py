@@ -72,7 +72,9 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, seed: str = SEED, text:
     of ``max_length`` and the rest; all of its tokens are packed. Documents of
     the same length are told apart by a hash of their ids; null ids by a hash of
     their texts. Repeated rows are packed as often as they occur; which of them
-    goes where is open, as they are the same. An empty table gives no rows."""
+    goes where is open, as they are the same. Very long texts are packed whole.
+    Ids keep their type. No columns but the two named and those of ``tokens`` are
+    read, whatever the others' names. An empty table gives no rows."""
     n = word_count(col(text)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
     who = F.coalesce(col(doc_id).cast("string"), F.concat(F.lit("null:"), F.coalesce(col(text), F.lit(""))))
     rows = docs.select(col(doc_id).alias("doc_id"), F.md5(F.concat(F.lit(seed + "|"), who)).alias("key"), (n + 1).alias("n"))

@@ -67,7 +67,9 @@ def shard(docs: DataFrame, group: Column, shards: int = SHARDS, text: str = "tex
     ``group`` is a string column; a group's size is the characters of its rows
     and 1 for each row, so that null and empty texts count. Null is a group.
     Groups of the same size are ordered by their names' hash. Repeated rows stay
-    and count as often as they occur. An empty table gives no rows."""
+    and count as often as they occur. Very long texts count whole. Ids keep their
+    type. No columns but the two named and those of ``group`` are read, whatever the
+    others' names. An empty table gives no rows."""
     rows = Table(docs.select(col(doc_id).alias("doc_id"), group.alias("group"), (F.coalesce(F.length(col(text)), F.lit(0)) + 1).cast("long").alias("n")), "shard-rows")
     groups = rows.df.groupBy("group").agg(F.sum("n").cast("long").alias("size"))
     groups = Table(groups.select("group", "size", F.md5(F.coalesce(F.concat(F.lit("g|"), "group"), F.lit("null"))).alias("key"), F.lit(1).cast("long").alias("one")), "shard-groups")

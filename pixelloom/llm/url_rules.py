@@ -13,7 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, col
+from .common import Table, col, spread
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.001, 0.3, 1.25
 #: Rows that FP-growth gets, about; it finds candidates, which are counted over all rows.
@@ -51,8 +51,9 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
     A token set is a rule if it and the bad label occur together in at least
     ``min_support`` of the rows, if the bad share of its rows is at least
     ``min_confidence`` and ``min_lift`` times the share of all rows, and if no
-    proper subset that is a rule is as confident. Without labelled rows, or
-    without bad ones, there are no rules.
+    proper subset that is a rule is as confident; of sets that are equally
+    confident the smaller ones stay, and all of the same size. Without labelled
+    rows, or without bad ones, there are no rules.
 
     All rows count. They are grouped by token set and label; with more than
     ``fit_rows`` bad ones FP-growth gets each group's rows in units of several,
@@ -61,14 +62,17 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
     spark = labelled.sparkSession
     rows = labelled.where(col(bad).isNotNull() & col(url).isNotNull()).select(url_tokens(col(url)).alias("tokens"), col(bad).alias("bad"))
     rows = Table(rows.groupBy("tokens", "bad").agg(F.count(F.lit(1)).alias("n")), "labelled").df
+    rows = spread(rows)
     n, n_bad = rows.agg(F.sum("n"), F.sum(F.when(F.col("bad"), F.col("n")))).first()
     none = Table(spark.createDataFrame([], "rule long, tokens array<string>, support double, confidence double"), "rules")
     if not n or not n_bad:
         return none
-    # tokens of nearly all rows tell nothing, and tokens below the support can't be in a rule
+    # a token of all rows is in no rule: without it the set is in as many, and alone it has no lift
     items = rows.where("bad").select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("count")).where(F.col("count") >= F.lit(min_support * n))
-    common = rows.select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("count")).where(F.col("count") >= F.lit(0.98 * n))
-    items = Table(items.join(common, "t", "left_anti").select(F.col("t").alias("item")), "items")
+    if min_lift > 1:
+        common = rows.select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("count")).where(F.col("count") == F.lit(n))
+        items = items.join(common, "t", "left_anti")
+    items = Table(items.select(F.col("t").alias("item")), "items")
     marked = rows.withColumn("r", F.monotonically_increasing_id()).select("r", "bad", "n", F.explode("tokens").alias("t"))
     basket = marked.join(items.small(), F.col("t") == F.col("item")).groupBy("r", "bad", "n").agg(F.array_sort(F.collect_set("t")).alias("tokens"))
     basket = Table(basket.groupBy("tokens", "bad").agg(F.sum("n").alias("n")), "baskets")
@@ -84,7 +88,7 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
     least = min_support * n / unit / total * (1 - 1e-9)  # one less by rounding is no loss
     found = FPGrowth(itemsCol="tokens", minSupport=min(1.0, max(least, 1e-12)), minConfidence=1.0).fit(bad_sets).freqItemsets
     sets = Table(found.select(F.array_sort("items").alias("tokens")).withColumn("rule", F.xxhash64("tokens")), "sets")
-    times = match(basket.df.withColumn("of", F.struct("bad", "n")), sets.df, "of").groupBy("rule").agg(F.sum("of.n").alias("all_n"), F.sum(F.when(F.col("of.bad"), F.col("of.n"))).alias("bad_n"))
+    times = match(spread(basket.df).withColumn("of", F.struct("bad", "n")), sets.df, "of").groupBy("rule").agg(F.sum("of.n").alias("all_n"), F.sum(F.when(F.col("of.bad"), F.col("of.n"))).alias("bad_n"))
     frequent = sets.df.join(times, "rule").where(F.col("bad_n") >= F.lit(min_support * n))
     confident = frequent.withColumn("confidence", F.col("bad_n") / F.col("all_n")).where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= F.lit(min_lift * n_bad / n)))
     confident = Table(confident.select("rule", "tokens", (F.col("bad_n") / F.lit(float(n))).alias("support"), "confidence"), "confident")
@@ -124,7 +128,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     many fire, and the highest confidence.
 
     Pages are matched by distinct URL: rows of one URL get the same, repeated
-    rows stay. Null URLs match nothing; ids may be null or repeated. An empty
+    rows stay. Very long URLs are read whole. Null URLs match nothing; ids may be null or repeated. An empty
     table, or no rules, gives no rows. Extra columns are not read."""
     own = pages.where(col(url).isNotNull()).select(col(page_id).alias("page_id"), col(url).alias("url"))
     fired = match(own.select("url").distinct().select("url", url_tokens(F.col("url")).alias("tokens")), rules, "url")

@@ -21,9 +21,47 @@ def summary_frame(df: DataFrame, bands: list[str], prefix: str = "") -> DataFram
     return df.agg(*[f(band(b)).alias(f"{prefix}{n}_{b}") for b in bands for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("sd", F.stddev_samp))])
 
 
+#: Twice the error in rank of the first pass of ``quantile_frame``, as a share of the rows.
+_NEAR, _ACCURACY = 4e-4, 10_000
+
+
+def quantile_frame(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> DataFrame:
+    """A row with an array of the exact quantiles (linear interpolation) of each column.
+
+    Two passes: a sketch of bounded size gives values around each quantile, then
+    what lies strictly between them is gathered, less than a thousandth of the
+    rows, and what lies below them is counted; no task holds all values."""
+    own = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values())])
+    ends = [float(x) for p in probs for x in (max(p - _NEAR, 0.0), min(p + _NEAR, 1.0))]
+    marks = own.agg(*[f(F.col(f"c{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("q", lambda c: F.percentile_approx(c, F.array(*[F.lit(x) for x in ends]), F.lit(_ACCURACY))), ("n", F.count))])
+    both, aggs = own.crossJoin(F.broadcast(marks)), []
+    for i in range(len(columns)):
+        c = F.col(f"c{i}")
+        aggs.append(F.any_value(f"n{i}").alias(f"n{i}"))
+        for k in range(len(probs)):
+            lo, hi = F.col(f"q{i}")[2 * k], F.col(f"q{i}")[2 * k + 1]
+            aggs += [F.any_value(lo).alias(f"lo{i}_{k}"), F.any_value(hi).alias(f"hi{i}_{k}"), F.count_if(c < lo).alias(f"b{i}_{k}"), F.count_if(c == lo).alias(f"e{i}_{k}"), F.array_sort(F.collect_list(F.when((c > lo) & (c < hi), c))).alias(f"m{i}_{k}")]
+    out = both.agg(*aggs)
+
+    def at(i: int, k: int, rank: Column) -> Column:
+        after = (rank - F.col(f"b{i}_{k}") - F.col(f"e{i}_{k}")).cast("int")
+        return F.when(after < 0, F.col(f"lo{i}_{k}")).otherwise(F.coalesce(F.get(F.col(f"m{i}_{k}"), after), F.col(f"hi{i}_{k}")))
+
+    found = []
+    for i, name in enumerate(columns):
+        values = []
+        for k, p in enumerate(probs):
+            place = F.lit(float(p)) * (F.col(f"n{i}") - 1)
+            low = F.floor(place)
+            a, b = at(i, k, low), at(i, k, F.ceil(place))
+            values.append(a + (place - low) * (b - a))
+        found.append(F.array(*values).alias(name))
+    return out.select(*found)
+
+
 def quantiles(df: DataFrame, bands: list[str], probs: list[float]) -> dict[str, list[float]]:
     """Exact quantiles with linear interpolation."""
-    r = df.agg(*[F.percentile(band(b), F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i, b in enumerate(bands)]).first()
+    r = quantile_frame(df, {f"q{i}": band(b) for i, b in enumerate(bands)}, probs).first()
     return {b: r[f"q{i}"] for i, b in enumerate(bands)}
 
 
@@ -35,7 +73,8 @@ def frequencies(df: DataFrame, bands: list[str]) -> DataFrame:
 
 def ecdf(freq: DataFrame, by: list[str] = ("band",)) -> DataFrame:
     """Adds ``p``, the share of pixels that are no greater; on the frequency
-    table, so the window holds distinct values and never pixels."""
+    table: the window of a band holds its distinct values (of a band of real
+    numbers they may be as many as its pixels; bound them by a sample there)."""
     w = Window.partitionBy(*by)
     return freq.withColumn("p", F.sum("freq").over(w.orderBy("value")) / F.sum("freq").over(w))
 

@@ -91,12 +91,17 @@ def sample_regular(df: DataFrame, grid: GridSpec, max_pixels: int) -> DataFrame:
     return df.where((F.col("row") % k == 0) & (F.col("col") % k == 0))
 
 
+def seeded(seed: int, *cols: str) -> Column:
+    """The random order of a seed, from the columns' values."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+
+
 def sample_random(df: DataFrame, n: int, bands: list[str] = (), seed: int = 1, key: str = "cell") -> DataFrame:
     """n pixels that have all of the bands (all there are, if fewer), the same for
     the same seed: those whose keys hash least."""
     for b in bands:
         df = df.where(F.col(b).isNotNull())
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(seeded(seed, key), key).limit(n)
 
 
 def fortify(df: DataFrame, grid: GridSpec, bands: list[str], max_pixels: int = 50_000) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import options
 from ..functions import stats
 from ..functions.expr import all_present, band, clamp, div, first_largest, first_smallest, lit, total
-from ..grid import GridSpec, sample_random
+from ..grid import GridSpec, sample_random, seeded
 from . import match, vector
 
 # unsupervised ---------------------------------------------------------------
@@ -227,7 +227,7 @@ def stratified_split(df: DataFrame, share: float, by: str = "response", unit: st
     key = [unit] if unit else ["row", "col"]
     units = df.select(by, *key).distinct() if unit else df.select(by, *key)
     w = Window.partitionBy(by)
-    ranked = units.withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), *key), *key))).withColumn("_n", F.count(F.lit(1)).over(w))
+    ranked = units.withColumn("_r", F.row_number().over(w.orderBy(seeded(seed, *key), *key))).withColumn("_n", F.count(F.lit(1)).over(w))
     train = ranked.where(F.col("_r") <= F.ceil(F.col("_n") * share)).select(by, *key)
     if share < 1 and ranked.where(F.col("_r") > F.ceil(F.col("_n") * share)).select(by).distinct().count() < units.select(by).distinct().count():
         raise ValueError("some class would have no validation sample")
@@ -239,24 +239,28 @@ def folds(df: DataFrame, k: int, unit: str | None = None, by: str = "response",
     of one feature share a fold."""
     key = [unit] if unit else ["row", "col"]
     units = df.select(by, *key).distinct()
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    w = Window.partitionBy(by).orderBy(seeded(seed, *key), *key)
     return df.join(units.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")), [by, *key])
 
 
 def balance(df: DataFrame, how: str, by: str = "response", bands: list[str] = (), seed: int = 1) -> DataFrame:
     """Classes of equal size: ``down`` to the smallest, ``up`` by repetition to the
-    largest, ``smote`` by points between pixels of a class (next in a random
-    order), ``rose`` by repetition with noise of a quarter deviation."""
+    largest, ``smote`` by points between a pixel and its nearest neighbour in
+    the class (samples are bounded, so all pairs are compared), ``rose`` by repetition with noise of a quarter deviation."""
     if how not in ("up", "down", "smote", "rose"):
         raise ValueError("sampling is one of up, down, smote, rose")
     w = Window.partitionBy(by)
-    df = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "row", "col"), "row", "col")))
+    df = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(seeded(seed, "row", "col"), "row", "col")))
     most, least = df.agg(F.max("_n"), F.min("_n")).first()
     if how == "down":
         return df.where(F.col("_r") <= least).drop("_n", "_r")
     copies = F.floor((F.lit(most) - F.col("_r")) / F.col("_n")) + 1  # of the r-th of n, so that all add up to the largest
-    for b in bands if how == "smote" else ():
-        df = df.withColumn(f"_next_{b}", F.coalesce(F.lead(b).over(w.orderBy("_r")), F.first(b).over(w.orderBy("_r"))))
+    if how == "smote":
+        other = df.select(F.col(by).alias("_by"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.struct(*[F.col(b).alias(f"v{i}") for i, b in enumerate(bands)]).alias("_v"))
+        apart = total([(F.col(b) - F.col(f"_v.v{i}")) * (F.col(b) - F.col(f"_v.v{i}")) for i, b in enumerate(bands)])
+        pairs = df.select(by, "row", "col", *bands).join(other, (F.col(by) == F.col("_by")) & ((F.col("row") != F.col("_row")) | (F.col("col") != F.col("_col"))))
+        near = pairs.groupBy(by, "row", "col").agg(F.min_by("_v", F.struct(apart, "_row", "_col")).alias("_v"))
+        df = df.join(near, [by, "row", "col"], "left").withColumns({f"_next_{b}": F.coalesce(F.col(f"_v.v{i}"), F.col(b)) for i, b in enumerate(bands)}).drop("_v")
     for b in bands if how == "rose" else ():
         df = df.withColumn(f"_sd_{b}", F.coalesce(F.stddev_samp(b).over(w), lit(0)))
     df = df.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.expr import band, div, lit, total
 from . import focal, register
 
@@ -40,7 +41,7 @@ def cloud_shadow_mask(img: DataFrame, clouds: DataFrame, bands: list[str], shift
         if shift_estimate is None:
             raise ValueError("give shift_estimate or precise_shift")
         sums = img.select("row", "col", total([band(b) for b in bands]).alias("s"))
-        cut = sums.agg(F.percentile("s", lit(quantile))).first()[0]
+        cut = stats.quantile_frame(sums, {"cut": F.col("s")}, [quantile]).first()[0][0]
         dark = sums.select("row", "col", F.when(F.col("s") < lit(cut), lit(1)).otherwise(lit(0)).alias("v"))
         cloud = img.select("row", "col").join(clouds.select("row", "col", "CMASK"), ["row", "col"], "left").select("row", "col", F.when(F.col("CMASK").isNotNull(), lit(1)).otherwise(lit(0)).alias("v"))
         steps = [(shift_estimate[0] + k / 2 * xres, shift_estimate[1] + k / 2 * yres) for k in range(-6, 7)]

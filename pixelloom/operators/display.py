@@ -26,9 +26,11 @@ def stretch(df: DataFrame, bands: list[str], method: str = "lin", quantiles: tup
             df = df.join(share, band(b) == F.col("_v"), "left").withColumn(b, F.col("_p")).drop("_v", "_p")
         return df
     f = {"lin": lambda c: c, "log": lambda c: F.when(c > -1, F.log(c + 1.0)), "sqrt": lambda c: F.when(c >= 0, F.sqrt(c))}[method]
-    probs = list(quantiles) if method == "lin" else [0.0, 1.0]
-    aggs = [F.percentile(f(band(b)), F.array(*[lit(p) for p in probs])).alias(f"_q{i}") for i, b in enumerate(bands)]
-    out = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    if method == "lin":
+        ends = stats.quantile_frame(df, {f"_q{i}": band(b) for i, b in enumerate(bands)}, list(quantiles))
+    else:
+        ends = df.agg(*[F.array(F.min(f(band(b))), F.max(f(band(b)))).alias(f"_q{i}") for i, b in enumerate(bands)])
+    out = df.crossJoin(F.broadcast(ends))
     cols = {}
     for i, b in enumerate(bands):
         lo, hi = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +86,17 @@ def resample_bilinear(fine: DataFrame, coarse: DataFrame, grid: GridSpec, bands:
     sum of the four nearest; at the edges of those that there are."""
     fx = (F.col("x") - lit(grid.xmin)) / lit(grid.xres) - 0.5
     fy = (lit(grid.ymax) - F.col("y")) / lit(grid.yres) - 0.5
-    at = fine.select(*keys, fx.alias("fx"), fy.alias("fy")).withColumn("c0", F.floor("fx")).withColumn("r0", F.floor("fy"))
-    four = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("s")
-    at = at.select("*", four)
-    part = lambda f, base, step: F.when(step == 1, f - base).otherwise(lit(1) - (f - base))
-    at = at.select(*keys, (F.col("r0") + F.col("s.i")).cast("int").alias("_r"), (F.col("c0") + F.col("s.j")).cast("int").alias("_c"), (part(F.col("fy"), F.col("r0"), F.col("s.i")) * part(F.col("fx"), F.col("c0"), F.col("s.j"))).alias("w"))
-    both = at.where("w > 0").join(coarse.select(F.col("row").alias("_r"), F.col("col").alias("_c"), *bands), ["_r", "_c"])
-    return both.groupBy(*keys).agg(*[div(F.sum(F.col("w") * band(b)), F.sum(F.when(F.col(b).isNotNull(), F.col("w")))).alias(b) for b in bands])
+    # each coarse pixel gets its three neighbours beside it first, so that the fine ones are joined once
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    sent = F.explode(F.array(*[F.struct((F.col("row") - i).cast("int").alias("r"), (F.col("col") - j).cast("int").alias("c"), F.lit(k).alias("k")) for k, (i, j) in enumerate(corners)])).alias("s")
+    values = coarse.select(sent, F.struct(*[band(b).alias(f"v{n}") for n, b in enumerate(bands)]).alias("v"))
+    four = values.groupBy(F.col("s.r").alias("_r"), F.col("s.c").alias("_c")).agg(*[F.first(F.when(F.col("s.k") == k, F.col("v")), True).alias(f"_q{k}") for k in range(4)])
+    at = fine.select(*keys, fx.alias("_fx"), fy.alias("_fy")).withColumn("_c", F.floor("_fx").cast("int")).withColumn("_r", F.floor("_fy").cast("int"))
+    dx, dy = F.col("_fx") - F.col("_c"), F.col("_fy") - F.col("_r")
+    w = [(dy if i else lit(1) - dy) * (dx if j else lit(1) - dx) for i, j in corners]
+    both = at.join(four, ["_r", "_c"]).where(reduce(or_, [F.col(f"_q{k}").isNotNull() & (w[k] > 0) for k in range(4)]))
+    part = lambda k, n, x: F.when((w[k] > 0) & F.col(f"_q{k}.v{n}").isNotNull(), x).otherwise(lit(0.0))
+    return both.select(*keys, *[div(sum((part(k, n, w[k] * F.col(f"_q{k}.v{n}")) for k in range(1, 4)), part(0, n, w[0] * F.col(f"_q0.v{n}"))), sum((part(k, n, w[k]) for k in range(1, 4)), part(0, n, w[0]))).alias(b) for n, b in enumerate(bands)])
 
 
 def focal(df: DataFrame, layer: str, offsets: list[tuple[int, int]], agg, name: str) -> DataFrame:

@@ -154,7 +154,7 @@ def pif_match(img: DataFrame, ref: DataFrame, bands: list[str], keys: list[str]
     if strict_compat and method == "sam":
         sim = -sim
     both = both.withColumn("_sim", F.when(all_present(a + b), sim))
-    cut = both.agg(F.percentile("_sim", lit(quantile))).first()[0]
+    cut = stats.quantile_frame(both, {"cut": F.col("_sim")}, [quantile]).first()[0][0]
     pif = F.col("_sim") > lit(cut) if cut is not None else F.lit(False)
     row = both.where(pif).agg(*[f(F.col(f"_r_{x}"), band(x)).alias(f"{n}{i}") for i, x in enumerate(bands) for n, f in (("s", F.regr_slope), ("i", F.regr_intercept))]).first()
     models = {x: (row[f"s{i}"], row[f"i{i}"]) for i, x in enumerate(bands)}

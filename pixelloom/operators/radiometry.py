@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +45,8 @@ SENSORS: dict[tuple[str, str], dict[str, tuple]] = {
 }
 #: The exponent of the wavelength in the scattering of each kind of atmosphere.
 ATMOSPHERES = {"veryClear": -4.0, "clear": -2.0, "moderate": -1.0, "hazy": -0.7, "veryHazy": -0.5}
-_LIMITS = {"veryClear": (0, 55), "clear": (56, 75), "moderate": (76, 95), "hazy": (96, 115), "veryHazy": (116, 255)}
+#: The greatest haze value (8 bits) of each kind; the next one begins there.
+_LIMITS = {"veryClear": 55, "clear": 75, "moderate": 95, "hazy": 115, "veryHazy": 255}
 METHODS = ("rad", "apref", "sdos", "dos", "costz")
 
 
@@ -105,16 +107,17 @@ def estimate_haze(df: DataFrame, bands: list[str], dark_prop: float | dict[str,
         out = {b: v for b, (_, v) in ends.items()}
         if not max_slope:
             return out
+        tops = []
         for b, (idx, _) in ends.items():
             if idx <= 1:
                 continue
             h = (2 * int((idx / 10) // 2)) // 2  # half of the odd width's rest
             o = Window.partitionBy("band").orderBy("rn")
             s = dark.where(F.col("band") == b).withColumn("sm", F.when((F.col("rn") - h >= 1) & (F.col("rn") + h <= idx), F.avg("p").over(o.rowsBetween(-h, h))))
-            d = s.select("rn", "value", (F.lead("sm", 2).over(o) - F.col("sm")).alias("d"))
-            top = d.where("d IS NOT NULL").agg(F.min_by("rn", F.struct(-F.col("d"), F.col("rn")))).first()[0]
-            if top is not None:
-                out[b] = d.where(F.col("rn") == min(top + 1, idx)).first()["value"]
+            d = s.select("band", "rn", (F.lead("sm", 2).over(o) - F.col("sm")).alias("d"), F.coalesce(F.lead("value").over(o), F.col("value")).alias("next"))
+            tops.append(d.where("d IS NOT NULL").groupBy("band").agg(F.min_by("next", F.struct(-F.col("d"), F.col("rn"))).alias("value")))
+        if tops:
+            out |= {r["band"]: r["value"] for r in reduce(DataFrame.unionByName, tops).collect()}
         return out
     finally:
         dark.unpersist()
@@ -122,8 +125,8 @@ def estimate_haze(df: DataFrame, bands: list[str], dark_prop: float | dict[str,
 
 def _pick_atmosphere(haze: float, bits: int) -> str:
     scale = (2**bits - 1) / 255
-    for name, (lo, hi) in _LIMITS.items():
-        if lo * scale < haze <= hi * scale:
+    for name, most in _LIMITS.items():
+        if haze <= most * scale:
             return name
     raise ValueError(f"no kind of atmosphere fits the haze {haze}: name one")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import band, lit
+from ..grid import seeded
 
 
 def shift_grid(most: int = 3, step: int = 1) -> list[tuple[int, int]]:
@@ -29,13 +30,16 @@ def mutual_information(moving: DataFrame, fixed: DataFrame, bands: list[str], sh
     fixed image is sent to the moving pixels that it would meet."""
     spark = moving.sparkSession
     step = F.broadcast(spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(shifts)], "shift int, dx int, dy int"))
-    pairs = lambda df: df.select("row", "col", F.explode(F.array(*[F.struct(F.lit(i).alias("b"), band(b).alias("v")) for i, b in enumerate(bands)])).alias("p")).select("row", "col", F.col("p.b").alias("b"), F.col("p.v").alias("v")).where("v IS NOT NULL")
-    ends = lambda p, n: p.agg(F.min("v").alias(f"{n}0"), F.max("v").alias(f"{n}1"))
-    m, f = pairs(moving), pairs(fixed)
-    m = m.crossJoin(F.broadcast(ends(m, "m"))).select("row", "col", "b", binned(F.col("v"), F.col("m0"), F.col("m1"), n_bins).alias("mb"))
-    f = f.crossJoin(F.broadcast(ends(f, "f"))).select("row", "col", "b", binned(F.col("v"), F.col("f0"), F.col("f1"), n_bins).alias("fb"))
-    sent = f.crossJoin(step).select((F.col("row") + F.col("dy")).alias("row"), (F.col("col") - F.col("dx")).alias("col"), "b", "fb", "shift", "dx", "dy")
-    joint = sent.join(m, ["row", "col", "b"]).groupBy("shift", "dx", "dy", "mb", "fb").agg(F.count(F.lit(1)).alias("n"))
+    def bins(df: DataFrame, name: str) -> DataFrame:
+        """row, col and the bins of all bands, between the least and greatest value of any."""
+        low, high = (f(*[x(band(b)) for b in bands]) if len(bands) > 1 else x(band(bands[0])) for f, x in ((F.least, F.min), (F.greatest, F.max)))
+        both = df.crossJoin(F.broadcast(df.agg(low.alias("_lo"), high.alias("_hi"))))
+        return both.select("row", "col", F.array(*[F.when(band(b).isNotNull(), binned(band(b), F.col("_lo"), F.col("_hi"), n_bins)) for b in bands]).alias(name))
+
+    sent = bins(fixed, "f").crossJoin(step).select((F.col("row") + F.col("dy")).alias("row"), (F.col("col") - F.col("dx")).alias("col"), "f", "shift", "dx", "dy")
+    # bands are taken apart after the join: a row for each pixel and shift is sent, whatever the number of bands
+    met = sent.join(bins(moving, "m"), ["row", "col"]).select("shift", "dx", "dy", F.explode(F.arrays_zip("m", "f")).alias("b"))
+    joint = met.where("b.m IS NOT NULL AND b.f IS NOT NULL").groupBy("shift", "dx", "dy", F.col("b.m").alias("mb"), F.col("b.f").alias("fb")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("shift")
     p = joint.withColumn("t", F.sum("n").over(w)).withColumn("a", F.sum("n").over(Window.partitionBy("shift", "mb"))).withColumn("c", F.sum("n").over(Window.partitionBy("shift", "fb")))
     term = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("a").cast("double") * F.col("c")))
@@ -58,7 +62,7 @@ def coregister(img: DataFrame, ref: DataFrame, bands: list[str], shift: int | li
     shifts = shift_grid(shift, step) if isinstance(shift, int) else list(shift)
     fixed = ref
     if n_samples:
-        fixed = ref.orderBy(F.xxhash64(F.lit(seed), "row", "col"), "row", "col").limit(n_samples)
+        fixed = ref.orderBy(seeded(seed, "row", "col"), "row", "col").limit(n_samples)
     table = mutual_information(img, fixed, bands, shifts, n_bins).persist()
     try:
         r = table.orderBy(F.round("mi", 12).desc(), "shift").first()

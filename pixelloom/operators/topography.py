@@ -73,8 +73,8 @@ def _bin(c: Column, bins: list[tuple[float, float]]) -> Column:
     return out
 
 
-def _fits(df: DataFrame, bands: list[str], method: str, cos_z: float, sample: int | None, seed: int) -> dict[tuple[int, str], tuple[float, float]]:
-    """(slope, intercept) by (stratum, band), all in one aggregation."""
+def _fits(df: DataFrame, bands: list[str], method: str, cos_z: float, sample: int | None, seed: int) -> DataFrame:
+    """(_fit, s<i>, i<i>): slope and intercept of each band, a row for each stratum."""
     if sample:
         df = sample_random(df, sample, bands + ["illu"], seed, "_key")
     if method != "stat":
@@ -85,8 +85,8 @@ def _fits(df: DataFrame, bands: list[str], method: str, cos_z: float, sample: in
         y, x = band(b), F.col("illu")
         if method == "minnaert":
             y, x = F.log(least(y)), F.log(least(div(x, lit(cos_z))))
-        aggs += [F.regr_slope(y, x).alias(f"s{i}"), F.regr_intercept(y, x).alias(f"i{i}")]
-    return {(r["_stratum"], b): (r[f"s{i}"], r[f"i{i}"]) for r in df.groupBy("_stratum").agg(*aggs).collect() for i, b in enumerate(bands)}
+        aggs += [F.regr_slope(y, x).alias(f"_s{i}"), F.regr_intercept(y, x).alias(f"_i{i}")]
+    return df.groupBy(F.col("_stratum").alias("_fit")).agg(*aggs)
 
 
 def top_cor(
@@ -125,22 +125,19 @@ def top_cor(
         bins = strata(df, stratify_by, n_strata)
     layer = band(stratify_by) if stratify_by else illu
     df = df.withColumn("_stratum", _bin(layer, bins) if len(bins) > 1 else F.lit(0)).withColumn("_key", F.hash("row", "col"))
-    fits = _fits(df, bands, method, cos_z, sample, seed)
+    # the fits stay in the plan, a row for each stratum, so that the terrain is shuffled once for both uses
+    fits = F.broadcast(_fits(df, bands, method, cos_z, sample, seed))
+    df = df.join(fits, F.col("_stratum") == F.col("_fit"), "left")
     out = []
-    for b in bands:
-        y, c = band(b), F.lit(None).cast("double")
-        for s in range(len(bins)):
-            slope, intercept = fits.get((s, b), (None, None))
-            if slope is None:
-                continue
-            if method == "minnaert":
-                k = min(max(slope, 0.0), 1.0)
-                new = y * div(lit(cos_z), F.pow(illu, lit(k)))
-            elif method == "stat":
-                new = y - illu * lit(slope)
-            else:
-                ratio = intercept / slope if slope else float("inf")
-                new = y * div(lit(cos_z + ratio), illu + lit(ratio)) if math.isfinite(ratio) else y
-            c = F.when(F.col("_stratum") == s, new).otherwise(c)
+    for i, b in enumerate(bands):
+        y, slope, intercept = band(b), F.col(f"_s{i}"), F.col(f"_i{i}")
+        if method == "minnaert":
+            new = y * div(lit(cos_z), F.pow(illu, F.least(F.greatest(slope, lit(0.0)), lit(1.0))))
+        elif method == "stat":
+            new = y - illu * slope
+        else:
+            ratio = F.try_divide(intercept, slope)
+            new = F.when(F.abs(ratio) < lit(float("inf")), y * div(lit(cos_z) + ratio, illu + ratio)).otherwise(y)
+        c = F.when(slope.isNotNull(), new)
         out.append(F.when(~F.isnan(c), c).alias(b))
     return df.select(*keys, *out)

@@ -127,7 +127,7 @@ def cva(x: DataFrame, y: DataFrame, bands: tuple[str, str], keys: list[str] = ("
     if tmf is None and nct is None:
         return df
     if nct is None:
-        df = df.crossJoin(F.broadcast(df.agg((F.median("magnitude") * lit(tmf)).alias("_nct"))))
+        df = df.crossJoin(F.broadcast(stats.quantile_frame(df, {"m": F.col("magnitude")}, [0.5]).select((F.col("m")[0] * lit(tmf)).alias("_nct"))))
         limit = F.col("_nct")
     else:
         limit = lit(nct)

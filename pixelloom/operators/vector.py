@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import lit
-from ..grid import GridSpec
+from ..grid import GridSpec, seeded
 
 Ring = list[tuple[float, float]]
 
@@ -131,7 +131,7 @@ def sample_pixels(img: DataFrame, features: list[dict], response: str, bands: li
             areas.setdefault(str(f[response]), {})[i] = sum(area(r) for r in parse_wkt(f["wkt"])[1])
         share = [(i, math.ceil(n * a / (sum(s.values()) or 1))) for s in areas.values() for i, a in s.items()]
         limits = F.broadcast(img.sparkSession.createDataFrame(share, "feature int, most int"))
-        w = Window.partitionBy("feature").orderBy(F.xxhash64(F.lit(seed), "row", "col"), "row", "col")
+        w = Window.partitionBy("feature").orderBy(seeded(seed, "row", "col"), "row", "col")
         px = px.join(limits, "feature").withColumn("_k", F.row_number().over(w)).where("_k <= most").drop("_k", "most")
     return px.select("row", "col", "feature", "response", *bands)
 

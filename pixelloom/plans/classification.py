@@ -112,13 +112,104 @@ def supervised_rf(spark, sf_dir):
     return classify.supervised(img, SQUARES, "class", ["size", "price"], part_grid(spark, sf_dir), tune_length=1, k_folds=2, keys=["cell"], numTrees=10)[1]
 
 
-@query("supervised_mlc")
-def supervised_mlc(spark, sf_dir):
+_SQUARE = "CASE WHEN (col BETWEEN 12 AND 17 AND row BETWEEN 2 AND 7) THEN 'b' WHEN (col BETWEEN 1 AND 6 AND row BETWEEN 1 AND 6) OR (col BETWEEN 30 AND 35 AND row BETWEEN 3 AND 8) THEN 'a' END"
+_BAYES = f"""WITH p AS (SELECT *, {_SQUARE} AS k FROM {PART}), c AS (SELECT k, avg(size) m0, avg(price) m1, var_samp(size) a, var_samp(price) d, covar_samp(size, price) b FROM p WHERE k IS NOT NULL GROUP BY k),
+ s AS (SELECT cell, row, col, p.k AS reference, c.k, -ln(a * d - b * b) - (d * (size - m0) ** 2 - 2 * b * (size - m0) * (price - m1) + a * (price - m1) ** 2) / (a * d - b * b) AS s FROM p, c),
+ m AS (SELECT cell, any_value(reference) AS reference, CASE arg_max(k, s) WHEN 'a' THEN 1 ELSE 2 END AS class FROM s GROUP BY cell)"""
+
+
+def _squares_mlc(spark, sf_dir):
     img = part_pixels(spark, sf_dir)
-    return classify.supervised(img, SQUARES, "class", ["size", "price"], part_grid(spark, sf_dir), model="mlc", keys=["cell"])[1]
+    return classify.supervised(img, SQUARES, "class", ["size", "price"], part_grid(spark, sf_dir), model="mlc", keys=["cell", "row", "col"])
+
+
+@query("supervised_mlc", f"{_BAYES} SELECT cell, class FROM m")
+def supervised_mlc(spark, sf_dir):
+    return _squares_mlc(spark, sf_dir)[1].select("cell", "class")
+
+
+_CONF = f"{_BAYES}, n AS (SELECT CASE class WHEN 1 THEN 'a' ELSE 'b' END AS prediction, reference, count(*) AS n FROM m WHERE reference IS NOT NULL GROUP BY ALL)"
+
+
+def _validation(spark, sf_dir):
+    model, map_ = _squares_mlc(spark, sf_dir)
+    return classify.validate_map(map_, SQUARES, "class", part_grid(spark, sf_dir), model.classes)
+
+
+@query("validate_confmat", f"{_CONF} SELECT p.k AS prediction, q.k AS reference, coalesce(n, 0)::BIGINT AS n FROM (VALUES ('a'), ('b')) p(k) CROSS JOIN (VALUES ('a'), ('b')) q(k) LEFT JOIN n ON prediction = p.k AND reference = q.k")
+def validate_confmat(spark, sf_dir):
+    return _validation(spark, sf_dir).frame(spark, "confmat")
+
+
+_RATE = lambda a, b: f"(sum(n) FILTER (WHERE {a}) / nullif(sum(n) FILTER (WHERE {b}), 0))"
+_SENS, _SPEC = _RATE("prediction = k AND reference = k", "reference = k"), _RATE("prediction <> k AND reference <> k", "reference <> k")
+
+
+@query("validate_classwise", f"""{_CONF} SELECT k AS class, {r(f'coalesce({_SENS}, 0)', 'sensitivity')}, {r(f'coalesce({_SPEC}, 0)', 'specificity')}, {r(f"coalesce({_RATE('prediction = k AND reference = k', 'prediction = k')}, 0)", 'ppv')},
+ {r(f"coalesce({_RATE('prediction <> k AND reference <> k', 'prediction <> k')}, 0)", 'npv')}, {r('sum(n) FILTER (WHERE reference = k) / sum(n)', 'prevalence')} FROM n, (VALUES ('a'), ('b')) v(k) GROUP BY k""")
+def validate_classwise(spark, sf_dir):
+    out = _validation(spark, sf_dir).frame(spark, "classwise").drop("balanced_accuracy")
+    return rounded(out, ["sensitivity", "specificity", "ppv", "npv", "prevalence"])
+
+
+_THIRDS = f"(SELECT row, col, size, (size::INT % 3)::VARCHAR AS response, md5('1|' || row || '|' || col) AS h FROM {PART})"
+_RANK = "row_number() OVER (PARTITION BY response ORDER BY h, row, col)"
+
+
+def _thirds(spark, sf_dir):
+    return part_pixels(spark, sf_dir).select("row", "col", "size", (F.col("size").cast("int") % 3).cast("string").alias("response"))
+
+
+@query("stratified_split", f"SELECT row, col, response, k <= ceil(n * 0.7) AS train FROM (SELECT *, {_RANK} AS k, count(*) OVER (PARTITION BY response) AS n FROM {_THIRDS})")
+def stratified_split(spark, sf_dir):
+    train, rest = classify.stratified_split(_thirds(spark, sf_dir), 0.7)
+    return train.select("row", "col", "response", F.lit(True).alias("train")).unionByName(rest.select("row", "col", "response", F.lit(False).alias("train")))
+
+
+@query("fold_assignment", f"SELECT row, col, response, (({_RANK} - 1) % 5)::INT AS fold FROM {_THIRDS}")
+def fold_assignment(spark, sf_dir):
+    return classify.folds(_thirds(spark, sf_dir), 5).select("row", "col", "response", "fold")
+
+
+_RANKED = f"(SELECT *, {_RANK} AS r, count(*) OVER (PARTITION BY response) AS n FROM {_THIRDS})"
+
+
+@query("balance_down", f"SELECT row, col, response FROM {_RANKED} WHERE r <= (SELECT min(n) FROM {_RANKED})")
+def balance_down(spark, sf_dir):
+    return classify.balance(_thirds(spark, sf_dir), "down").select("row", "col", "response")
+
+
+@query("balance_up", f"SELECT row, col, response, count(*)::BIGINT AS times FROM (SELECT row, col, response, unnest(range((((SELECT max(n) FROM {_RANKED}) - r) // n + 1)::BIGINT)) FROM {_RANKED}) GROUP BY ALL")
+def balance_up(spark, sf_dir):
+    return classify.balance(_thirds(spark, sf_dir), "up").groupBy("row", "col", "response").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("balance_smote", f"""WITH x AS (SELECT *, {_RANK} AS r, count(*) OVER (PARTITION BY response) AS n, (SELECT price FROM {PART} p WHERE p.row = t.row AND p.col = t.col) AS price FROM {_THIRDS} t),
+ k AS (SELECT a.row, a.col, a.response, a.r, a.n, a.size, a.price, arg_min({{'size': b.size, 'price': b.price}}, ((a.size - b.size) ** 2 + (a.price - b.price) ** 2, b.row, b.col)) AS nb FROM x a JOIN x b ON a.response = b.response AND (a.row, a.col) <> (b.row, b.col) GROUP BY ALL)
+ SELECT row, col, response, {r('least(size, nb.size)', 'low', 4)}, {r('greatest(size, nb.size)', 'high', 4)} FROM k WHERE (SELECT max(n) FROM x) - r >= n""")
+def balance_smote(spark, sf_dir):
+    """The ends between which a made pixel may lie; it has to lie there."""
+    px = part_pixels(spark, sf_dir).select("row", "col", "size", "price", (F.col("size").cast("int") % 3).cast("string").alias("response"))
+    made = classify.balance(px, "smote", bands=["size", "price"])
+    other = px.select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("size").alias("s2"), F.col("price").alias("p2"), F.col("response").alias("k2"))
+    both = px.join(other, (F.col("response") == F.col("k2")) & ((F.col("row") != F.col("r2")) | (F.col("col") != F.col("c2"))))
+    apart = (F.col("size") - F.col("s2")) * (F.col("size") - F.col("s2")) + (F.col("price") - F.col("p2")) * (F.col("price") - F.col("p2"))
+    ends = both.groupBy("row", "col").agg(F.min_by("s2", F.struct(apart, "r2", "c2")).alias("near"), F.first("size").alias("own"))
+    ends = ends.select("row", "col", F.least("own", "near").alias("low"), F.greatest("own", "near").alias("high"))
+    twice = made.groupBy("row", "col", "response").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("a"), F.max("size").alias("z")).where("n > 1")
+    return rounded(twice.join(ends, ["row", "col"]).where("a >= low - 1e-9 AND z <= high + 1e-9").select("row", "col", "response", "low", "high"), ["low", "high"], 4)
+
+
+_FAR = f"(SELECT row, col FROM {PART} WHERE row % 7 = 0 AND col % 5 = 0)"
+
+
+@query("away_from", f"SELECT row, col FROM {PART} a WHERE size > 25 AND NOT EXISTS (SELECT 1 FROM {_FAR} b WHERE (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4)")
+def away_from(spark, sf_dir):
+    px = part_pixels(spark, sf_dir)
+    return vector.away_from(px.where("size > 25").select("row", "col"), px.where("row % 7 = 0 AND col % 5 = 0"), 2.0)
 
 
-@query("sample_random")
+@query("sample_random", f"SELECT *, col + 0.5::DOUBLE AS x, -(row + 0.5)::DOUBLE AS y FROM {PART} ORDER BY md5('1|' || cell), cell LIMIT 100")
 def random_sample(spark, sf_dir):
     return sample_random(part_pixels(spark, sf_dir), 100, ["size"])
 
@@ -130,6 +221,5 @@ def frequency_table(spark, sf_dir):
 
 @query("quantiles", f"SELECT {r('quantile_cont(price, 0.02)', 'q02')}, {r('median(price)', 'q50')}, {r('quantile_cont(price, 0.98)', 'q98')} FROM {PART}")
 def quantiles(spark, sf_dir):
-    q = F.percentile("price", F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98)))
-    out = part_pixels(spark, sf_dir).agg(q.alias("q")).select(F.col("q")[0].alias("q02"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q98"))
-    return rounded(out, ["q02", "q50", "q98"])
+    q = stats.quantile_frame(part_pixels(spark, sf_dir), {"q": F.col("price")}, [0.02, 0.5, 0.98])
+    return rounded(q.select(F.col("q")[0].alias("q02"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q98")), ["q02", "q50", "q98"])

@@ -54,11 +54,11 @@ def rad_sdos(spark, sf_dir):
     return rounded(radiometry.rad_cor(scene(spark, sf_dir), META, "sdos", keys=_KEYS, haze_values={"B1_dn": 8, "B3_dn": 5}).drop("B6_bt"), ["B1_sre", "B3_sre"])
 
 
-def _dos_sql(tau_z: str, tau_v: str) -> str:
+def _dos_sql(tau_z: str, tau_v: str, exponent: int = -2) -> str:
     over = f"(8 * 0.765827 - 2.28583 - 0.01 * 1958 * {_COS} * {tau_z} * {tau_v} / {_DIST})"
     bands = []
     for n, e, esun, g, o, w in (("B1_sre", _L1, 1958, 0.765827, -2.28583, 0.485), ("B3_sre", _L3, 1551, 1.043976, -2.21398, 0.66)):
-        haze = f"greatest({over} * pow({w} / 0.485, -2) * ({g} / 0.765827) + {o}, 0)"
+        haze = f"greatest({over} * pow({w} / 0.485, {exponent}) * ({g} / 0.765827) + {o}, 0)"
         bands.append(r(_unit(f"{_DIST} * ({e} - {haze}) / ({tau_v} * {esun} * {_COS} * {tau_z})"), n))
     return f"SELECT l_orderkey, l_linenumber, {', '.join(bands)} FROM {_SCENE}"
 
@@ -68,6 +68,12 @@ def rad_dos(spark, sf_dir):
     return rounded(radiometry.rad_cor(scene(spark, sf_dir), META, "dos", keys=_KEYS, haze_values={"B1_dn": 8}, atmosphere="clear").drop("B6_bt"), ["B1_sre", "B3_sre"])
 
 
+@query("rad_dos_auto", _dos_sql("1", "1", -4))
+def rad_dos_auto(spark, sf_dir):
+    """The kind of atmosphere follows from the haze."""
+    return rounded(radiometry.rad_cor(scene(spark, sf_dir), META, "dos", keys=_KEYS, haze_values={"B1_dn": 8}).drop("B6_bt"), ["B1_sre", "B3_sre"])
+
+
 @query("rad_costz", _dos_sql(_COS, "cos(radians(1))"))
 def rad_costz(spark, sf_dir):
     return rounded(radiometry.rad_cor(scene(spark, sf_dir), META, "costz", keys=_KEYS, haze_values={"B1_dn": 8}, atmosphere="clear").drop("B6_bt"), ["B1_sre", "B3_sre"])

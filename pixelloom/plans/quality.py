@@ -88,6 +88,22 @@ def cloud_shadow(spark, sf_dir):
     return out.join(img.select("row", "col", "cell"), ["row", "col"]).select("cell", "CSMASK")
 
 
+_SHIFTS = [(round(3 + k / 2), round(2 + k / 2)) for k in range(-6, 7)]
+_SEARCH = f"""{_CLOUD}, m AS (SELECT cell, row, col, coalesce(v >= 0.6, false)::INT AS v FROM n), f AS (SELECT row, col, (size < (SELECT quantile_cont(size, 0.2) FROM p))::INT AS v FROM p),
+x(i, dx, dy) AS (VALUES {', '.join(f'({i}, {x}, {y})' for i, (x, y) in enumerate(_SHIFTS))}),
+j AS (SELECT i, dx, dy, m.v AS a, f.v AS b, count(*) AS k FROM x, m JOIN f ON f.row = m.row - dy AND f.col = m.col + dx GROUP BY ALL),
+w AS (SELECT i, dx, dy, sum(k / t * ln(k * t / (ka::DOUBLE * kb))) AS mi FROM (SELECT *, sum(k) OVER (PARTITION BY i) AS t, sum(k) OVER (PARTITION BY i, a) AS ka, sum(k) OVER (PARTITION BY i, b) AS kb FROM j) GROUP BY ALL),
+best AS (SELECT dx, dy FROM w ORDER BY round(mi, 12) DESC, i LIMIT 1)"""
+
+
+@query("cloud_shadow_search", f"{_SEARCH} SELECT n.cell, CASE WHEN c.v = 1 THEN 0.0::DOUBLE END AS \"CSMASK\" FROM n CROSS JOIN best LEFT JOIN m c ON c.row = n.row + dy AND c.col = n.col - dx")
+def cloud_shadow_search(spark, sf_dir):
+    """The shift is searched around an estimate."""
+    img = part_pixels(spark, sf_dir)
+    out = clouds.cloud_shadow_mask(img, _clouds(spark, sf_dir), ["size"], shift_estimate=(3, 2))
+    return out.join(img.select("row", "col", "cell"), ["row", "col"]).select("cell", "CSMASK")
+
+
 @query("focal_majority", f"SELECT p.cell, (SELECT m.size FROM {PART} m WHERE m.row = p.row AND m.col BETWEEN p.col - 1 AND p.col + 1 GROUP BY m.size ORDER BY count(*) DESC, m.size LIMIT 1) AS major FROM {PART} p")
 def focal_majority(spark, sf_dir):
     img = part_pixels(spark, sf_dir)

@@ -1,5 +1,6 @@
 """Queries of transforms of pixels and of display tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -92,17 +93,37 @@ def pca_scores_8(spark, sf_dir):
     return transform.raster_pca(emb_pixels(spark, sf_dir, 8), [f"b{i}" for i in range(8)], ["vec_id"], standardise=True)[1]
 
 
-@query("nnls")
+def _unmix_sql(names: list[str], ems: list[list[float]], models: list[list[int]], digits: int) -> str:
+    """Least squares over each subset of each model's endmembers; of those without
+    a negative fraction the one of the least error is the non-negative solution."""
+    labels, tries = list(dict.fromkeys(names)), []
+    for m, model in enumerate(models):
+        for k in range(2 ** len(model)):
+            own = [i for j, i in enumerate(model) if k >> j & 1]
+            e = np.array([ems[i] for i in own]).reshape(len(own), 4)
+            p = np.linalg.solve(e @ e.T, e) if own else e
+            f = {names[i]: "(" + " + ".join(f"b{b} * ({p[j, b]!r})" for b in range(4)).replace("np.float64(", "(") + ")" for j, i in enumerate(own)}
+            rest = " + ".join(f"(b{b} - (" + (" + ".join(f"{f[names[i]]} * ({ems[i][b]})" for i in own) or "0") + ")) ** 2" for b in range(4))
+            tries.append(f"SELECT vec_id, {m} AS m, {', '.join(f'{f.get(n, 0)}::DOUBLE AS {n}' for n in labels)}, sqrt(({rest}) / 4) AS rmse FROM {emb(4)} WHERE {' AND '.join(f'{x} >= 0' for x in f.values()) or 'true'}")
+    best = f"SELECT vec_id, unnest(arg_min({{{', '.join(f"'{n}': {n}" for n in [*labels, 'rmse'])}}}, (round(rmse, 9), m))) FROM ({' UNION ALL '.join(tries)}) GROUP BY vec_id"
+    total = " + ".join(labels)
+    return f"SELECT vec_id, {', '.join(r(f'CASE WHEN {total} > 0 THEN {n} / ({total}) END', n, digits) for n in labels)}, {r('rmse', 'RMSE', digits)} FROM ({best})"
+
+
+@query("nnls", _unmix_sql(list(_EM), list(_EM.values()), [[0, 1, 2]], 3))
 def nnls(spark, sf_dir):
     e = emb_pixels(spark, sf_dir, 4)
-    return unmix.mesma(e, list(_EM.values()), _B4, list(_EM), ["vec_id"])
+    return rounded(unmix.mesma(e, list(_EM.values()), _B4, list(_EM), ["vec_id"], sweeps=2000, tolerance=1e-10), [*_EM, "RMSE"], 3)
 
 
-@query("mesma")
+_EMS = [*_EM.values(), [0.1, 0.1, 0.1, 0.2], [0.0, -0.2, 0.3, 0.1], [-0.2, 0.1, 0.1, 0.1]]
+_KINDS = [*_EM, "soil", "leaf", "water"]
+
+
+@query("mesma", _unmix_sql(_KINDS, _EMS, unmix.combinations(_KINDS, 4), 3))
 def mesma(spark, sf_dir):
     e = emb_pixels(spark, sf_dir, 4)
-    ems = [*_EM.values(), [0.1, 0.1, 0.1, 0.2], [0.0, -0.2, 0.3, 0.1], [-0.2, 0.1, 0.1, 0.1]]
-    return unmix.mesma(e, ems, _B4, [*_EM, "soil", "leaf", "water"], ["vec_id"], classes=True, n_models=4)
+    return rounded(unmix.mesma(e, _EMS, _B4, _KINDS, ["vec_id"], classes=True, n_models=4, sweeps=2000, tolerance=1e-10), [*_EM, "RMSE"], 3)
 
 
 @query("coarsen", f"SELECT (row // 4)::INT AS row, (col // 4)::INT AS col, {r('avg(size)', 'size')}, {r('avg(price)', 'price')} FROM {PART} GROUP BY 1, 2")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import importlib
 import json
 import warnings
-from pathlib import Path
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import classify, transform
@@ -47,9 +47,9 @@ def _back(x):
 
 
 def save(model, path: str, map_: DataFrame | None = None) -> None:
-    """Write a fitted PCA, Clusters, MLC, Supervised or Validation, and its map."""
-    p = Path(path)
-    p.mkdir(parents=True, exist_ok=True)
+    """Write a fitted PCA, Clusters, MLC, Supervised or Validation, and its map, to any
+    file system that Spark has; ``meta.json`` is a text table of one line."""
+    spark = SparkSession.builder.getOrCreate()
     meta = _plain(model)
     if isinstance(model, classify.Supervised):
         if isinstance(model.model, classify.MLC):
@@ -57,23 +57,22 @@ def save(model, path: str, map_: DataFrame | None = None) -> None:
         else:
             meta["class"] = f"{type(model.model).__module__}.{type(model.model).__name__}"
             model.model.write().overwrite().save(f"{path}/model")
-    (p / "meta.json").write_text(json.dumps(meta))
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta.json")
     if map_ is not None:
         map_.write.mode("overwrite").parquet(f"{path}/map")
 
 
 def load(spark: SparkSession, path: str) -> tuple[object, DataFrame | None]:
     """(model, map); a missing map gives a warning and None."""
-    meta = json.loads((Path(path) / "meta.json").read_text())
+    meta = json.loads(spark.read.text(f"{path}/meta.json").first()[0])
     model = _back(meta)
     if "mlc" in meta:
         model.model = _back(meta["mlc"])
     elif "class" in meta:
         module, name = meta["class"].rsplit(".", 1)
         model.model = getattr(importlib.import_module(module), name).load(f"{path}/model")
-    if not (Path(path) / "map").exists():
+    try:
+        return model, spark.read.parquet(f"{path}/map")
+    except AnalysisException:
         warnings.warn(f"{path} has no map", stacklevel=2)
         return model, None
-    return model, spark.read.parquet(f"{path}/map")
-
-

@@ -78,7 +78,8 @@ def _count(text: Column, chars: str) -> Column:
 
 def let(value: Column, body) -> Column:
     """body(value) with the value evaluated once, however often the body has it.
-    Spark would write it out at each place when it moves filters down."""
+    Spark would write it out at each place when it moves filters down. (That keeps
+    it out of generated code, where it was slower: regular expressions take the time.)"""
     return F.transform(F.array(value), body)[0]
 
 
@@ -88,22 +89,27 @@ def measures(text: Column) -> Column:
     root of its words (distinct words), so that they suit any length."""
     t = F.coalesce(text, F.lit(""))
     low = F.lower(t)
-    # single blanks between words, each with a blank of its own on both sides
-    spaced = F.concat(F.lit(" "), F.regexp_replace(low, r"[ \n\t\r\f.,;:!?]", "  "), F.lit(" "))
+    apart = r" \n\t\r\f.,;:!?"
     base = F.struct(
         t.alias("t"),
         F.split(t, "\n").alias("lines"),
-        F.regexp_count(t, F.lit(r"[^ \t\n\r\f]+")).cast("double").alias("words"),
-        F.regexp_count(spaced, F.lit(" " + any_of(STOP_WORDS) + " ")).alias("stops"),
+        # a mark for each word, and the blanks: what both are counted from
+        F.regexp_replace(t, r"[^ \t\n\r\f]+", "x").alias("marks"),
+        F.regexp_count(low, F.lit(f"(?<![^{apart}]){any_of(STOP_WORDS)}(?![^{apart}])")).alias("stops"),
         F.size(F.array_distinct(F.split(low, " "))).alias("distinct"),
     )
 
+    def counted(b: Column) -> Column:
+        blanks = F.length(F.replace(b["marks"], F.lit("x"), F.lit("")))
+        own = [b[c].alias(c) for c in ("t", "lines", "stops", "distinct")]
+        return let(F.struct(*own, blanks.alias("blanks"), (F.length(b["marks"]) - blanks).cast("double").alias("words")), ratios)
+
     def ratios(b: Column) -> Column:
         chars = F.greatest(F.length(b["t"]), F.lit(1)).cast("double")
         per_word = F.greatest(b["words"], F.lit(1.0))
         return F.struct(
             b["words"].alias("words"),
-            ((F.length(b["t"]) - _count(b["t"], r"[ \t\n\r\f]")) / per_word).alias("word_length"),
+            ((F.length(b["t"]) - b["blanks"]) / per_word).alias("word_length"),
             (_count(b["t"], "[" + re.sub(r"(\W)", r"\\\1", SYMBOLS) + "]") / chars).alias("symbol_ratio"),
             ((F.length(b["t"]) - F.length(F.replace(b["t"], F.lit("!"), F.lit("")))) / chars).alias("mark_ratio"),
             (_count(b["t"], "[A-Z]") / chars).alias("capital_ratio"),
@@ -112,7 +118,7 @@ def measures(text: Column) -> Column:
             (F.size(F.array_distinct(b["lines"])) / F.size(b["lines"]).cast("double")).alias("line_ratio"),
         )
 
-    return let(base, ratios)
+    return let(base, counted)
 
 
 def compile_rules(rules: tuple[Rule, ...], measure: Column) -> Column:

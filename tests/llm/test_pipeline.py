@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -93,6 +94,18 @@ def test_stages_with_nulls_and_repeated_rows(spark):
     assert {r.doc_id for r in docs.collect()} <= {1, None, 3}
 
 
+def test_stages_with_ids_of_text_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    named = docs.withColumn("doc_id", F.concat(F.lit("https://x.org/"), "doc_id")).withColumns({c: F.lit(1) for c in ("node", "key", "mix_s", "digest", "first", "near_h", "rank", "n")}).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    plain = docs
+    for name, f in corpus_pipeline.STAGES[:3]:
+        named, plain = f(spark, named, SF), f(spark, plain, SF)
+    assert named.columns == docs.columns + ["node", "key", "mix_s", "digest", "first", "near_h", "rank", "n", "tags"]
+    # groups are the same ones; which id of a group is the least differs
+    assert named.count() == plain.count()
+    assert corpus_pipeline.STAGES[4][1](spark, corpus_pipeline.STAGES[3][1](spark, named, SF), SF).count() > 0
+
+
 def test_ten_queries_are_registered():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

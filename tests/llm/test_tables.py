@@ -249,8 +249,7 @@ def brute_rules(rows, support, confidence, lift):
     from itertools import combinations
 
     n, bad = len(rows), [t for t, b in rows if b]
-    common = {x for x in set().union(*[t for t, _ in rows]) if sum(x in t for t, _ in rows) >= 0.98 * n}
-    sets = {frozenset(c) for t in bad for k in range(1, len(t) + 1) for c in combinations(sorted(t - common), k)}
+    sets = {frozenset(c) for t in bad for k in range(1, len(t) + 1) for c in combinations(sorted(t), k)}
     out = {}
     for s in sets:
         b, a = sum(s <= t for t in bad), sum(s <= t for t, _ in rows)
@@ -319,28 +318,80 @@ def test_token_counts_at_every_prefix(spark):
     texts += ["".join(random.choice("ab'slvreè 1 \n\t.,!日\U0001f600") for _ in range(random.randint(0, 40))) for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tokens", F.lit(0))
     out = token_counts.prefix_counts(df, budget=5)
-    out = out.withColumn("half", token_counts.count_at(F.col("steps"), F.lit(9))).withColumn("in9", token_counts.longest_within(F.col("steps"), F.lit(9))).collect()
+    asked = [(f"at{k}", token_counts.count_at(F.col("counts"), F.lit(k))) for k in (-1, 0, 1, 9, 10**6)] + [(f"in{k}", token_counts.longest_within(F.col("counts"), F.lit(k))) for k in (0, 1, 9)]
+    out = out.withColumns(dict(asked)).collect()
     assert len(out) == len(texts)
     for r in out:
         t = texts[r.doc_id]
         if t is None:
-            assert (r.tokens, r.steps, r.fits, r.half, r.in9) == (0, None, 0, None, None)
+            assert (r.tokens, r.counts, r.fits, r.at9, r.in9) == (0, None, 0, None, None)
             continue
         want = [len(enc.encode_ordinary(t[:i])) for i in range(len(t) + 1)]
-        assert np.cumsum(np.frombuffer(r.steps, np.int8)).tolist() == want[1:]
-        assert r.tokens == want[-1] and r.half == want[min(9, len(t))]
-        assert r.fits == max(i for i, n in enumerate(want) if n <= 5) and r.in9 == max(i for i, n in enumerate(want) if n <= 9)
+        assert np.frombuffer(r.counts, ">i4").tolist() == want[1:]
+        assert r.tokens == want[-1]
+        assert all(r[f"at{k}"] == want[min(max(k, 0), len(t))] for k in (-1, 0, 1, 9, 10**6))
+        assert r.fits == max(i for i, n in enumerate(want) if n <= 5)
+        assert all(r[f"in{k}"] == max(i for i, n in enumerate(want) if n <= k) for k in (0, 1, 9))
     assert token_counts.prefix_counts(df.limit(0)).count() == 0
+    counted, name = token_counts.token_count(df.withColumn("n_tokens", F.lit(7)))
+    assert name == "_n_tokens" and {r.doc_id: r[name] for r in counted.collect()} == {r.doc_id: r.tokens for r in out}
 
 
 def test_very_long_text_and_forgetting(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
-    a = {r.doc_id: bytes(r.steps) for r in token_counts.prefix_counts(docs).collect()}
+    a = {r.doc_id: bytes(r.counts) for r in token_counts.prefix_counts(docs).collect()}
     c = token_counts.Counter(token_counts.default_vocabulary())
     monkeypatch.setattr(token_counts, "REMEMBERED", 10)
     for r in docs.collect():
         n, _ = c.counts(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]))
-        assert np.diff(n, prepend=0).astype(np.int8).tobytes() == a[r.doc_id]
+        assert n.astype(">i4").tobytes() == a[r.doc_id]
+
+
+def test_a_text_of_millions_of_characters_is_counted_whole(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as p
+
+    with open(token_counts.default_vocabulary(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()
+    text = "\n\n".join(r.text for r in docs)
+    text = text * (3_000_000 // len(text) + 1)
+    df = spark.createDataFrame([("x/1", text), ("x/2", "short")], "doc_id string, text string")
+    r = {x.doc_id: x for x in token_counts.prefix_counts(df, budget=500_000).collect()}
+    assert r["x/1"].tokens == len(enc.encode_ordinary(text)) and r["x/2"].tokens == len(enc.encode_ordinary("short"))
+    c = np.frombuffer(r["x/1"].counts, ">i4")
+    assert len(c) == len(text) and r["x/1"].fits == np.flatnonzero(c <= 500_000)[-1] + 1
+    for k in (7, 123_456, 2_999_999):
+        assert c[k - 1] == len(enc.encode_ordinary(text[:k]))
+
+
+def test_string_ids_and_clashing_columns(spark):
+    """Ids of text, columns with the names that the operators use."""
+    rows = [(f"https://a.b/{i}", "w " * (i % 4) + "x" * (i % 3), f"s{i % 2}") for i in range(30)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    for c in ("key", "length", "pack", "piece", "shard", "group", "size", "rank", "s", "g", "tokens", "epoch", "used", "conv_id", "turns"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = Counter((r.doc_id, r.source, r.epoch, r.tokens, r.used) for r in mixing.mix_plan(df, {"s0": 2.0}).collect())
+    want = brute_mix([r[:3] for r in rows], {"s0": 2.0}, 1.0, None, mixing.SEED)
+    assert {k: v for k, v in got.items() if k[3]} == {k: v for k, v in want.items() if k[3]}
+    assert mixing.mix(df, {"s0": 2.0}).columns == df.columns
+    assert Counter(r.doc_id for r in packing.pack(df, 64).collect()) == Counter(r[0] for r in rows)
+    shards = {r.doc_id: r.shard for r in sharding.shard(df, F.col("source"), 3).collect()}
+    assert set(shards) == {r[0] for r in rows} and len({(s, shards[i]) for i, _, s in rows}) == 3
+    turns = spark.createDataFrame([("a-1", 1, "u", "one"), ("b", 1, "u", "x"), ("a-1", 2, "v", "two"), (None, 1, "u", "n"), (None, 0, "u", "m")], "conv_id string, turn long, role string, text string").withColumn("turns", F.lit(0))
+    got = {r.conv_id: (r.turns, r.text.count("<|im_start|>")) for r in chat.format_chats(turns).collect()}
+    assert got == {"a-1": (2, 2), "b": (1, 1), None: (2, 2)}
+
+
+def test_very_long_urls(spark):
+    url = "http://h.example.org/" + "dir/" * 50_000 + "1?" + "&".join(f"k{i}=1" for i in range(2000))
+    rows = [(url, True)] * 30 + [("http://good.example.org/2", False)] * 30
+    df = spark.createDataFrame(rows, "url string, bad boolean").withColumn("page_id", F.lit("p-1")).withColumn("tokens", F.lit(1))
+    toks = df.select(F.size(url_rules.url_tokens(F.col("url"))).alias("n")).collect()
+    assert {r.n for r in toks} == {2000 + 6, 5}
+    rules = spark.createDataFrame([(1, ["key=k1999", "dir=dir"], 0.5, 1.0)], "rule long, tokens array<string>, support double, confidence double")
+    assert Counter(r.page_id for r in url_rules.filter_urls(df, rules).collect()) == {"p-1": 30}
 
 
 def test_shared_dir_is_the_session_s(spark):

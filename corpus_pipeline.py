@@ -1,5 +1,14 @@
 """From raw documents to packed sequences: five stages, each written as Parquet
-and read again by the next."""
+and read again by the next.
+
+All stages take null ids, texts and sources, empty and very long texts (whole),
+ties and repeated rows, an empty table (which gives an empty result), ids of any
+type and columns of any other names, which all stages but the last keep. Quality
+rules reject null and empty texts; exact dedup keeps the least id of a text, near
+dedup that of a group, null ids last; repeated rows are copies. Mixing repeats
+documents, whole, as their source's weight asks for; rows that share an id are
+taken together. Packing has a piece for each document taken, tokens being words.
+"""
 
 from __future__ import annotations
 
@@ -45,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     its result is written, and its result when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with scratch() as done:
-        for name, stage in STAGES[:-1]:
+        for name, stage in STAGES:
             docs = done(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        return STAGES[-1][1](spark, docs, sf_dir)
+        return docs

@@ -83,8 +83,11 @@ def shift(df: DataFrame, dx: float, dy: float) -> DataFrame:
     return df.withColumn("x", F.col("x") + F.lit(float(dx))).withColumn("y", F.col("y") + F.lit(float(dy)))
 
 
-def sample_regular(df: DataFrame, grid: GridSpec, max_pixels: int) -> DataFrame:
-    """Every k-th pixel of every k-th row, k the least that keeps to max_pixels."""
+def sample_regular(df: DataFrame, grid: GridSpec, max_pixels: int | None) -> DataFrame:
+    """Every k-th pixel of every k-th row, k the least that keeps to max_pixels;
+    all pixels if that is None."""
+    if max_pixels is None:
+        return df
     k = 1
     while -(-grid.ncol // k) * -(-grid.nrow // k) > max_pixels:
         k += 1

@@ -113,7 +113,7 @@ def _unmix_sql(names: list[str], ems: list[list[float]], models: list[list[int]]
 @query("nnls", _unmix_sql(list(_EM), list(_EM.values()), [[0, 1, 2]], 3))
 def nnls(spark, sf_dir):
     e = emb_pixels(spark, sf_dir, 4)
-    return rounded(unmix.mesma(e, list(_EM.values()), _B4, list(_EM), ["vec_id"], sweeps=2000, tolerance=1e-10), [*_EM, "RMSE"], 3)
+    return rounded(unmix.mesma(e, list(_EM.values()), _B4, list(_EM), ["vec_id"], sweeps=2000, tolerance=1e-10, digits=9), [*_EM, "RMSE"], 3)
 
 
 _EMS = [*_EM.values(), [0.1, 0.1, 0.1, 0.2], [0.0, -0.2, 0.3, 0.1], [-0.2, 0.1, 0.1, 0.1]]

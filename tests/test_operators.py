@@ -451,6 +451,18 @@ def test_nnls():
     assert (v >= 0).all() and (grad > -1e-6).all() and np.abs(grad * v).max() < 1e-6  # the optimality conditions
 
 
+def test_nnls_is_exact():
+    e = np.array([[1.0, 0.0, 0.5], [1.0, 1e-4, 0.5]])  # nearly the same
+    p = np.array([[0.3, 0.7], [0.9, 0.1], [0.0, 1.0], [1.0, 0.0]])
+    v, err = unmix.nnls(p @ e, e)
+    assert np.allclose(v, p, atol=1e-9) and (err < 1e-12).all()
+    v, _ = unmix.nnls(np.array([[1.0, 1.0]]), np.array([[1.0, 1.0], [2.0, 2.0], [0.0, 0.0]]))
+    assert v @ [1, 2, 0] == pytest.approx(1)  # dependent endmembers
+    x, soil = np.array([[-0.01375986, -0.14111796, -0.2606487, -0.03066462]]), [[0.2, 0.1, -0.1, 0.3]]
+    assert unmix.nnls(x, np.array(soil))[0][0, 0] > 0  # lowers the RMSE, by less than 1e-9
+    assert unmix.nnls(x, np.array(soil), digits=9)[0][0, 0] == 0
+
+
 def test_mesma(spark):
     e = {"a": [0.9, 0.1, 0.2], "b": [0.1, 0.8, 0.3]}
     df = image(spark, 3, 1, **{f"x{k}": lambda i, j, k=k: None if j == 2 else (j + 1) / 4 * e["a"][k] + (3 - j) / 4 * e["b"][k] for k in range(3)})

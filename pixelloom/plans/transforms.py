@@ -123,7 +123,7 @@ _KINDS = [*_EM, "soil", "leaf", "water"]
 @query("mesma", _unmix_sql(_KINDS, _EMS, unmix.combinations(_KINDS, 4), 3))
 def mesma(spark, sf_dir):
     e = emb_pixels(spark, sf_dir, 4)
-    return rounded(unmix.mesma(e, _EMS, _B4, _KINDS, ["vec_id"], classes=True, n_models=4, sweeps=2000, tolerance=1e-10), [*_EM, "RMSE"], 3)
+    return rounded(unmix.mesma(e, _EMS, _B4, _KINDS, ["vec_id"], classes=True, n_models=4, sweeps=2000, tolerance=1e-10, digits=9), [*_EM, "RMSE"], 3)
 
 
 @query("coarsen", f"SELECT (row // 4)::INT AS row, (col // 4)::INT AS col, {r('avg(size)', 'size')}, {r('avg(price)', 'price')} FROM {PART} GROUP BY 1, 2")

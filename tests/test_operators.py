@@ -473,6 +473,16 @@ def test_mesma(spark):
     assert len(unmix.combinations(["a", "b", "a"], 9)) == 2
 
 
+def test_unmixing_queries_leave_out_what_the_sql_does(spark, tmp_path):
+    from pixelloom.plans import catalog
+
+    rows = [(i, 0, v) for i, v in enumerate([[-0.01375986, -0.14111796, -0.2606487, -0.03066462], [0.01793619, 0.04460631, -0.1514594, -0.07729609]])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("nnls", "mesma"):  # as the SQL has them, run by one thread
+        got = catalog.queries()[name](spark, str(tmp_path)).orderBy("vec_id").select("soil", "water", "leaf", "RMSE").collect()
+        assert [tuple(r) for r in got] == [(None, None, None, 0.149), (None, None, None, 0.088)]
+
+
 # vectors, classification
 
 

@@ -243,10 +243,110 @@ def folds(df: DataFrame, k: int, unit: str | None = None, by: str = "response",
     return df.join(units.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")), [by, *key])
 
 
+#: Points of a cell of ``nearest``, about, and sampled points that a cell is made from.
+_CELL, _TRACE = 2000, 16
+
+
+def _split(points: np.ndarray, first: int = 0) -> tuple:
+    """(k-d tree, next cell) of sampled points: a tree is a cell's number, or (band,
+    value, tree of the values up to it, tree of the others)."""
+    spread = np.ptp(points, axis=0) if len(points) >= 2 * _TRACE else np.zeros(1)
+    j = int(np.argmax(spread))
+    if spread[j] <= 0:
+        return first, first + 1
+    v = np.sort(points[:, j])
+    cut = v[(len(v) - 1) // 2]
+    cut = cut if cut < v[-1] else v[v < cut][-1]
+    low, middle = _split(points[points[:, j] <= cut], first)
+    high, last = _split(points[points[:, j] > cut], middle)
+    return (j, float(cut), low, high), last
+
+
+def _cells(tree, x: np.ndarray, reach: np.ndarray, at: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(cell, rows of x) of the cells within each point's reach."""
+    if not len(at):
+        return []
+    if isinstance(tree, int):
+        return [(tree, at)]
+    j, cut, low, high = tree
+    return _cells(low, x, reach, at[x[at, j] - reach[at] <= cut]) + _cells(high, x, reach, at[x[at, j] + reach[at] > cut])
+
+
+def nearest(df: DataFrame, bands: list[str], by: str = "response") -> DataFrame:
+    """(by, bands, ``_next``): for each distinct point of a class (values of the bands)
+    the nearest other pixel's point, as a struct v0 .. of the bands; of equally near
+    ones that of the first (row, col). Pixels that lack a band are none of them.
+
+    Points of several pixels are their own nearest. The others are compared with
+    the points of their cell of a k-d tree, then with those of the cells that are
+    nearer than what was found, so that none is missed. The tree comes from a
+    sample of points, which decides on the cells' sizes only."""
+    nb = len(bands)
+    v = [f"v{i}" for i in range(nb)]
+    full = all_present([F.col(b) for b in bands]) & F.col(by).isNotNull()
+    for b in bands:
+        full = full & (F.abs(band(b)) < lit(math.inf))
+    px = df.where(full).groupBy(F.col(by).alias("k"), *[(band(b) + lit(0)).alias(n) for b, n in zip(bands, v)])
+    points = px.agg(F.min(F.struct("row", "col")).alias("f"), F.max(F.struct("row", "col")).alias("l"))
+    points = points.select("k", *v, F.col("f.row").cast("long").alias("r"), F.col("f.col").cast("long").alias("c"), (F.col("f") == F.col("l")).alias("alone"))
+    sampled = F.when(F.abs(F.xxhash64(*v)) % (_CELL // _TRACE) == 0, F.array(*v))
+    trees, cells = {}, 0
+    for k, sample in points.groupBy("k").agg(F.collect_list(sampled)).orderBy("k").collect():
+        trees[k], cells = _split(np.array(sorted(map(tuple, sample)), float).reshape(-1, nb), cells)
+    kind = points.schema["k"].dataType.simpleString()
+    columns = ["k", *v, "r", "c", "alone"]
+
+    def spread(frames, reach=None):
+        """The rows with their cell, or with each cell within reach but theirs."""
+        for p in frames:
+            x = p[v].to_numpy(float)
+            d = p[reach].to_numpy(float) if reach else np.zeros(len(p))
+            for k, rows in p.groupby("k").indices.items():
+                for cell, at in _cells(trees[k], x, d, np.asarray(rows)):
+                    part = p.iloc[at].assign(to=np.int64(cell))
+                    yield part[part["cell"] != cell].drop(columns="cell") if reach else part
+
+    def search(cell, of, own: bool):
+        """(x, d2, r, c, n): of each point that is searched for, the nearest in the cell."""
+        cell = cell.sort_values(["r", "c"])
+        x = cell[v].to_numpy(float)
+        of = cell[cell["alone"]] if own else of
+        q, places = of[v].to_numpy(float), np.flatnonzero(cell["alone"]) if own else None
+        best, least = np.zeros(len(q), int), np.full(len(q), np.inf)
+        step = max(1, 2_000_000 // max(1, len(x)))
+        for s in range(0, len(q) if len(x) else 0, step):
+            d = sum((q[s : s + step, i, None] - x[:, i]) ** 2 for i in range(nb))
+            if own:
+                d[np.arange(len(d)), places[s : s + step]] = np.inf
+            best[s : s + step] = np.argmin(d, axis=1)
+            least[s : s + step] = d[np.arange(len(d)), best[s : s + step]]
+        found = np.isfinite(least)
+        out = of[["k", *v]].copy()
+        out["d2"] = least
+        for n in ("r", "c"):
+            out[f"{n}2"] = np.where(found, cell[n].to_numpy()[best] if len(x) else 0, 0)
+        for i, n in enumerate(v):
+            out[f"n{i}"] = np.where(found, x[best, i] if len(x) else 0.0, 0.0)
+        return out
+
+    doubles = ", ".join(f"{n} double" for n in v)
+    point = f"k {kind}, {doubles}, r long, c long, alone boolean"
+    hit = f"k {kind}, {doubles}, d2 double, r2 long, c2 long, " + ", ".join(f"n{i} double" for i in range(nb))
+    at_home = points.mapInPandas(lambda frames: spread(frames), f"{point}, to long")
+    home = at_home.groupBy("to").applyInPandas(lambda key, p: search(p[columns], None, True).assign(cell=key[0]), f"{hit}, cell long")
+    # sqrt and the squares are rounded: reach a little farther
+    visits = home.select("k", *v, "cell", (F.sqrt("d2") * lit(1 + 1e-9)).alias("reach")).mapInPandas(lambda frames: spread(frames, "reach"), f"k {kind}, {doubles}, reach double, to long")
+    away = at_home.groupBy("to").cogroup(visits.groupBy("to")).applyInPandas(lambda p, q: search(p[columns], q, False), hit)
+    hits = home.drop("cell").unionByName(away).where(F.col("d2") < lit(math.inf))
+    hits = hits.groupBy("k", *v).agg(F.min_by(F.struct(*[F.col(f"n{i}").alias(n) for i, n in enumerate(v)]), F.struct("d2", "r2", "c2")).alias("_next"))
+    several = points.where("NOT alone").select("k", *v, F.struct(*v).alias("_next"))
+    return hits.unionByName(several).select(F.col("k").alias(by), *[F.col(n).alias(b) for b, n in zip(bands, v)], "_next")
+
+
 def balance(df: DataFrame, how: str, by: str = "response", bands: list[str] = (), seed: int = 1) -> DataFrame:
     """Classes of equal size: ``down`` to the smallest, ``up`` by repetition to the
     largest, ``smote`` by points between a pixel and its nearest neighbour in
-    the class (samples are bounded, so all pairs are compared), ``rose`` by repetition with noise of a quarter deviation."""
+    the class (see ``nearest``), ``rose`` by repetition with noise of a quarter deviation."""
     if how not in ("up", "down", "smote", "rose"):
         raise ValueError("sampling is one of up, down, smote, rose")
     w = Window.partitionBy(by)
@@ -256,11 +356,7 @@ def balance(df: DataFrame, how: str, by: str = "response", bands: list[str] = ()
         return df.where(F.col("_r") <= least).drop("_n", "_r")
     copies = F.floor((F.lit(most) - F.col("_r")) / F.col("_n")) + 1  # of the r-th of n, so that all add up to the largest
     if how == "smote":
-        other = df.select(F.col(by).alias("_by"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.struct(*[F.col(b).alias(f"v{i}") for i, b in enumerate(bands)]).alias("_v"))
-        apart = total([(F.col(b) - F.col(f"_v.v{i}")) * (F.col(b) - F.col(f"_v.v{i}")) for i, b in enumerate(bands)])
-        pairs = df.select(by, "row", "col", *bands).join(other, (F.col(by) == F.col("_by")) & ((F.col("row") != F.col("_row")) | (F.col("col") != F.col("_col"))))
-        near = pairs.groupBy(by, "row", "col").agg(F.min_by("_v", F.struct(apart, "_row", "_col")).alias("_v"))
-        df = df.join(near, [by, "row", "col"], "left").withColumns({f"_next_{b}": F.coalesce(F.col(f"_v.v{i}"), F.col(b)) for i, b in enumerate(bands)}).drop("_v")
+        df = df.join(nearest(df, bands, by), [by, *bands], "left").withColumns({f"_next_{b}": F.coalesce(F.col(f"_next.v{i}"), F.col(b)) for i, b in enumerate(bands)}).drop("_next")
     for b in bands if how == "rose" else ():
         df = df.withColumn(f"_sd_{b}", F.coalesce(F.stddev_samp(b).over(w), lit(0)))
     df = df.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))

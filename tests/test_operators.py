@@ -583,6 +583,28 @@ def test_balance(spark, how):
     assert n == ({"a": 10, "b": 10} if how == "down" else {"a": 20, "b": 20})
 
 
+def test_nearest_is_exact_and_compares_no_class_in_pairs(spark):
+    rng = np.random.default_rng(5)
+    n = 9000  # several cells for the first class
+    x, y = rng.integers(0, 40, n).astype(float), np.round(rng.random(n) * 300) / 4  # many copies and equal distances
+    x[:3000], y[:3000] = rng.random(3000) * 40, rng.random(3000) * 80
+    k = np.where(rng.random(n) < 0.8, "a", "b")
+    rows = [(i // 100, i % 100, float(x[i]), float(y[i]), str(k[i])) for i in range(n)]
+    rows += [(200, 0, 1.0, 1.0, "alone"), (200, 1, None, 2.0, "a"), (200, 2, 1e300, 0.0, "c"), (200, 3, -1.0, 0.0, "c"), (200, 4, 0.0, 3.0, "c")]
+    df = spark.createDataFrame(rows, "row int, col int, x double, y double, response string")
+    got = {(r.response, r.x, r.y): tuple(r._next) for r in classify.nearest(df, ["x", "y"]).collect()}
+    for c in "ab":
+        at = np.flatnonzero(k == c)
+        for i in at:
+            d = (x[at] - x[i]) ** 2 + (y[at] - y[i]) ** 2
+            d[at == i] = np.inf
+            j = at[np.argmin(d)]  # the first (row, col) of equally near ones
+            assert got[c, x[i], y[i]] == (x[j], y[j])
+    assert {g: n for g, n in got.items() if g[0] not in "ab"} == {("c", -1.0, 0.0): (0.0, 3.0), ("c", 0.0, 3.0): (-1.0, 0.0)}
+    plan = classify.balance(df, "smote", bands=["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (row" not in plan and "NOT (col" not in plan
+
+
 def test_folds_keep_features_together(spark):
     df = image(spark, 10, 4, v=lambda i, j: 0).withColumn("response", F.lit("a")).withColumn("feature", F.col("col"))
     f = classify.folds(df, 3, "feature").groupBy("feature").agg(F.count_distinct("fold").alias("n")).collect()
